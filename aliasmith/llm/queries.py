@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, neardup, substring, toxicity
+from . import bpe, decontaminate, masked_lm, neardup, quality, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return masked_lm.score(docs, masked_lm.train(docs))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +34,10 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.shared_passages(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.repetition_rules(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return toxicity.score(docs, toxicity.train(docs, labels))
@@ -41,10 +50,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_masked_lm": op1_masked_lm,
     "op2_bpe": op2_bpe,
     "op3_decontaminate": op3_decontaminate,
     "op5_neardup": op5_neardup,
     "op6_substring": op6_substring,
+    "op8_quality": op8_quality,
     "op10_toxicity": op10_toxicity,
     "pipeline": pipeline,
 }
@@ -70,4 +81,27 @@ FROM (SELECT doc_id, span, min(pos)::BIGINT AS start_word, (max(pos) + 50)::BIGI
 LEFT JOIN (SELECT doc_id, span, sum(more) AS later_words FROM l GROUP BY ALL) b ON a.doc_id = b.doc_id AND a.span = b.span
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_substring": _SUBSTRING_SQL}
+#: All pairs of equal runs of 5 words in a document; those on one diagonal in a row make a repeat.
+_QUALITY_SQL = r"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10ffff}]+') END AS x FROM documents
+), w AS (
+  SELECT doc_id, unnest(x) AS word, unnest(range(len(x))) AS pos, len(x) AS n FROM d
+), g AS (
+  SELECT doc_id, pos, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS gram FROM w
+), r AS (
+  SELECT doc_id, pos, gram FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g WHERE pos + 5 <= n) WHERE c > 1
+), cov AS (
+  SELECT doc_id, sum(least(5, gap))::BIGINT AS covered FROM (SELECT doc_id, pos - lag(pos, 1, pos - 5) OVER (PARTITION BY doc_id ORDER BY pos) AS gap FROM r) GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id, b.pos - a.pos AS apart, a.pos - row_number() OVER (PARTITION BY a.doc_id, b.pos - a.pos ORDER BY a.pos) AS run FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.gram = b.gram AND a.pos < b.pos
+), lon AS (
+  SELECT doc_id, max(c) + 4 AS longest FROM (SELECT doc_id, apart, run, count(*) AS c FROM p GROUP BY ALL) GROUP BY doc_id
+), t AS (
+  SELECT d.doc_id, len(x)::BIGINT AS n_words, coalesce(covered, 0)::BIGINT AS covered_words, CASE WHEN len(x) > 0 THEN coalesce(covered, 0)::DOUBLE / len(x) ELSE 0.0::DOUBLE END AS covered_fraction, coalesce(longest, 0)::BIGINT AS longest_repeat
+  FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id LEFT JOIN lon ON d.doc_id = lon.doc_id
+)
+SELECT *, covered_fraction <= 0.3 AND longest_repeat <= 50 AS keep FROM t
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_substring": _SUBSTRING_SQL, "op8_quality": _QUALITY_SQL}
