@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, masked_lm, neardup, quality, substring, toxicity
+from . import bpe, decontaminate, html_extract, masked_lm, neardup, quality, substring, token_counts, toxicity, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -34,10 +38,18 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.shared_passages(_table(spark, sf_dir, "documents"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.verdicts(_table(spark, sf_dir, "pages"), url_rules.rules_table(spark))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_rules(_table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(spark, _table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return toxicity.score(docs, toxicity.train(docs, labels))
@@ -53,9 +65,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_masked_lm": op1_masked_lm,
     "op2_bpe": op2_bpe,
     "op3_decontaminate": op3_decontaminate,
+    "op4_html": op4_html,
     "op5_neardup": op5_neardup,
     "op6_substring": op6_substring,
+    "op7_urls": op7_urls,
     "op8_quality": op8_quality,
+    "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
     "pipeline": pipeline,
 }
@@ -104,4 +119,19 @@ WITH d AS (
 SELECT *, covered_fraction <= 0.3 AND longest_repeat <= 50 AS keep FROM t
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_substring": _SUBSTRING_SQL, "op8_quality": _QUALITY_SQL}
+#: Every URL is compared with every rule: the cross join that the sweep saves.
+_URLS_SQL = r"""
+WITH u AS (
+  SELECT page_id, lower(regexp_replace(regexp_extract(url, '{host}', 1), '\.+$', '')) AS host, regexp_extract(url, '{rest}', 1) AS rest FROM pages
+), k AS (
+  SELECT page_id, CASE WHEN host IS NULL OR host = '' THEN NULL ELSE CASE WHEN regexp_full_match(host, '[0-9]+(\.[0-9]+){{3}}') THEN host ELSE array_to_string(list_reverse(string_split(host, '.')), '.') END || '.' || CASE WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END END AS url_key FROM u
+), r0 (rule, action) AS (VALUES {rules}), r1 AS (
+  SELECT rule, action, array_to_string(list_reverse(string_split(split_part(rule, '/', 1), '.')), '.') || '.' || CASE WHEN contains(rule, '/') THEN substr(rule, strpos(rule, '/')) ELSE '' END AS prefix FROM r0
+), m AS (
+  SELECT page_id, url_key, count(prefix)::INT AS n_rules, max_by(rule, length(prefix)) AS rule, max_by(action, length(prefix)) AS action
+  FROM (SELECT *, row_number() OVER () AS nr FROM k) LEFT JOIN r1 ON starts_with(url_key, prefix) GROUP BY nr, page_id, url_key
+)
+SELECT *, coalesce(action <> 'block', true) AS keep FROM m
+""".format(host=url_rules._HOST, rest=url_rules._REST, rules=", ".join(f"('{a}', '{b}')" for a, b in url_rules.RULES))
+
+ORACLE_SQL: dict[str, str] = {"op6_substring": _SUBSTRING_SQL, "op7_urls": _URLS_SQL, "op8_quality": _QUALITY_SQL}
