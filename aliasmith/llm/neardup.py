@@ -6,9 +6,10 @@ sequence of its own until one is filled, so that fills of different bins are ind
 of ROWS bins make bucket keys. In a bucket every document is joined to the least doc_id only, a
 star, so a bucket of n documents gives n - 1 candidate edges, not n squared. Documents with the
 same signature are joined to the least of them before banding. Candidate edges are verified by
-the share of equal bins, and where an edge fails, its end goes through the bucket again without
-that centre, until every document has met a centre it matches or been a centre itself: no
-candidate is capped. Where both documents have at most FEW distinct shingles, for which the share
+the share of equal bins. Where an edge fails, its end goes through the rest of the bucket once
+more: one pass in order of doc_id, in which a document that matches no centre so far becomes one,
+so that every document has met a centre it matches or is one itself, and no candidate is capped;
+only centres are held in memory. Where both documents have at most FEW distinct shingles, for which the share
 of equal bins is a rough estimate, they carry their shingles and the similarity is exact. Groups are the connected components of the verified edges.
 
 Null doc_ids can't be told apart and take no part; null, empty or wordless texts match nothing.
@@ -96,19 +97,65 @@ def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, BANDS))], ["bucket", "doc_id"])
 
 
+def _matrix(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, BINS)
+
+
+def _jaccard(p: bytes, q: bytes) -> float:
+    u, v = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+    both = len(np.intersect1d(u, v, assume_unique=True))
+    return both / (len(u) + len(v) - both)
+
+
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, BINS) for c in ("sig_a", "sig_b"))
-            like = (x == y).mean(1)
+            like = (_matrix(b.column("sig_a")) == _matrix(b.column("sig_b"))).mean(1)
             for i, (p, q) in enumerate(zip(b.column("few_a").to_pylist(), b.column("few_b").to_pylist())):
                 if p is not None and q is not None:
-                    u, v = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                    both = len(np.intersect1d(u, v, assume_unique=True))
-                    like[i] = both / (len(u) + len(v) - both)
+                    like[i] = _jaccard(p, q)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(like)], ["a", "b", "similarity"])
 
 
+def _centres(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of bucket and doc_id: each is joined to the first centre it matches, or becomes one."""
+        now, centres = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, ids, few = batch.column("bucket").to_numpy(), batch.column("doc_id").to_numpy(), batch.column("few").to_pylist()
+            sig = _matrix(batch.column("sig"))
+            edges = []
+
+            def meet(centre: tuple, rest: np.ndarray) -> np.ndarray:
+                c, c_sig, c_few = centre
+                like = (sig[rest] == c_sig).mean(1)  # noqa: B023
+                if c_few is not None:
+                    for i, r in enumerate(rest):
+                        if few[r] is not None:  # noqa: B023
+                            like[i] = _jaccard(c_few, few[r])  # noqa: B023
+                ok = like >= threshold
+                edges.extend((c, ids[r], x) for r, x in zip(rest[ok], like[ok]))  # noqa: B023
+                return rest[~ok]
+
+            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            for lo, hi in zip(first, np.r_[first[1:], len(bucket)]):
+                if bucket[lo] != now:
+                    now, centres = bucket[lo], []
+                rest = np.arange(lo, hi)
+                for c in centres:
+                    if not len(rest):
+                        break
+                    rest = meet(c, rest)
+                while len(rest):
+                    centres.append((ids[rest[0]], sig[rest[0]].copy(), few[rest[0]]))
+                    rest = meet(centres[-1], rest[1:])
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _, _ in edges], pa.int64()), pa.array([b for _, b, _ in edges], pa.int64()), pa.array([x for _, _, x in edges], pa.float64())], ["a", "b", "similarity"])
+
+    return run
+
+
 def signature_table(docs: DataFrame) -> DataFrame:
     """doc_id, same (fingerprint of the signature), sig, few; one row a document that has words."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
@@ -123,22 +170,18 @@ def verified_edges(sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     equal = stars.filter("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity"))
     heads = sigs.join(stars.filter("doc_id <> a").select("doc_id", "same"), ["doc_id", "same"], "left_anti")
     buckets = heads.select("doc_id", "sig").mapInArrow(_band, "bucket long, doc_id long")
-    found = equal
     by_bucket = Window.partitionBy("bucket").orderBy("doc_id")
     starred = buckets.select("bucket", F.col("doc_id").alias("b"), F.first("doc_id").over(by_bucket).alias("a")).filter("a <> b")
     starred = cut(starred)
-    while True:
-        pairs = starred.select("a", "b").distinct()
-        left = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"), F.col("few").alias("few_a"))
-        right = sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"), F.col("few").alias("few_b"))
-        checked = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b", "few_a", "few_b").mapInArrow(_agree, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
-        found = found.unionByName(checked.filter(F.col("similarity") >= threshold))
-        failed = checked.filter(F.col("similarity") < threshold).select("a", "b")
-        again = starred.join(failed, ["a", "b"]).select("bucket", F.col("b").alias("doc_id"))
-        starred = again.select("bucket", F.col("doc_id").alias("b"), F.first("doc_id").over(by_bucket).alias("a")).filter("a <> b")
-        starred = cut(starred)
-        if starred.isEmpty():
-            return found
+    pairs = starred.select("a", "b").distinct()
+    left = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"), F.col("few").alias("few_a"))
+    right = sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"), F.col("few").alias("few_b"))
+    checked = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b", "few_a", "few_b").mapInArrow(_agree, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
+    failed = checked.filter(F.col("similarity") < threshold).select("a", "b")
+    rest = starred.join(failed, ["a", "b"]).select("bucket", F.col("b").alias("doc_id")).join(sigs.select("doc_id", "sig", "few"), "doc_id")
+    more = rest.select("bucket", "doc_id", "sig", "few").repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(_centres(threshold), "a long, b long, similarity double")
+    # a doc_id in more rows may meet itself
+    return equal.unionByName(checked.filter(F.col("similarity") >= threshold)).unionByName(more.filter("a <> b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
