@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernel import cut, mix, row_bounds, shingle_hashes, slices, word_hashes
+from .kernel import cut, free_name, mix, row_bounds, shingle_hashes, slices, word_hashes
 
 SHINGLE = 3
 BANDS, ROWS = 40, 4
@@ -211,12 +211,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each group. Rows with a null doc_id stay; of rows that share a doc_id one stays."""
-    gone = near_duplicates(docs, threshold).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice"))
-    repeated = cut(repeated)
+    name = free_name(docs, "gone")
+    gone = near_duplicates(docs, threshold).select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")
+    repeated = cut(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(name)))
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, kept["doc_id"] == F.col("_twice"), "left_anti")
-    more = kept.join(repeated, kept["doc_id"] == F.col("_twice"), "left_semi")
+    once = kept.join(repeated, kept["doc_id"] == F.col(name), "left_anti")
+    more = kept.join(repeated, kept["doc_id"] == F.col(name), "left_semi")
     return once.unionByName(more.dropDuplicates(["doc_id"]))
