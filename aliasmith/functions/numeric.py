@@ -9,15 +9,19 @@ NAN, INF = float("nan"), float("inf")
 
 
 def ln(x: Column) -> Column:
-    """Natural logarithm: -Infinity at 0, NaN below and for NaN, null for null."""
+    """Natural logarithm: -Infinity at 0, NaN below and for NaN, null for null. x is named twice only, so that nesting stays small."""
     x = x.cast("double")
-    return F.when(F.isnan(x) | (x < 0), F.lit(NAN)).when(x == 0, F.lit(-INF)).otherwise(F.ln(x))
+    return F.coalesce(F.ln(x), F.sqrt(x) + F.lit(-INF))
 
 
 def div(a: Column, b: Column) -> Column:
-    """Quotient of doubles: x / 0 is an infinity, 0 / 0 NaN."""
-    a, b = a.cast("double"), b.cast("double")
-    return F.when(b != 0, F.try_divide(a, b)).when(b.isNull() | a.isNull(), F.lit(None).cast("double")).when((a == 0) | F.isnan(a), F.lit(NAN)).when(a > 0, F.lit(INF)).otherwise(F.lit(-INF))
+    """Quotient of doubles; null if b is 0."""
+    return F.try_divide(a.cast("double"), b.cast("double"))
+
+
+def div_or(a: Column, b: Column, other: float) -> Column:
+    """Quotient of doubles; `other` if b is 0."""
+    return F.coalesce(div(a, b), F.lit(other))
 
 
 def f32(x: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import div, f32, ln
+from .numeric import INF, NAN, div, div_or, f32, ln
 
 NIL_ID, NIL_SCORE = -1, -100.0
 MU_PROBABILITY, MU_CONTEXTUAL = 20.0, 10.0
@@ -38,8 +38,9 @@ def npmi(p_query: float = 0.0, p_anchor: float = 1.0) -> Column:
     """Normalized pointwise mutual information, weighted between queries and links; -1 where neither has seen the pair."""
     clicks, anchors = _c("sqef"), _c("slet")
     joint_w, joint_q = div(_c("laet"), anchors), div(_c("qaef"), clicks)
-    w = div(ln(div(joint_w, div(_c("let"), anchors) * div(_c("lat"), anchors))), -ln(joint_w))
-    q = div(ln(div(joint_q, div(_c("qef"), clicks) * div(_c("qaf"), clicks))), -ln(joint_q))
+    # a joint count that isn't 0 has a logarithm; totals of 0 on bad counts give infinities
+    w = div_or(F.ln(div_or(joint_w, div(_c("let"), anchors) * div(_c("lat"), anchors), INF)), -F.ln(joint_w), NAN)
+    q = div_or(F.ln(div_or(joint_q, div(_c("qef"), clicks) * div(_c("qaf"), clicks), INF)), -F.ln(joint_q), NAN)
     w, q = F.lit(p_anchor) * w, F.lit(p_query) * q
     return F.when((_c("qaef") == 0) & (_c("laet") == 0), F.lit(-1.0)).when(_c("qaef") == 0, w).when(_c("laet") == 0, q).otherwise(w + q)
 

@@ -7,11 +7,12 @@ the grouping key, so that an exchange by alias serves the group, the join and th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.scoring import importance
+from .mining import cut
 
 
 def valid_counts(df: DataFrame, names: tuple[str, ...], freqs: tuple[str, ...]) -> DataFrame:
@@ -54,25 +55,33 @@ def phrase_rescaled(feat: DataFrame) -> DataFrame:
     return feat.groupBy("alias").agg(F.ceil(share * F.max("phrase_freq").cast("double")).cast("bigint").alias("phrase_freq"))
 
 
-def _joined(phrases: DataFrame, pairs: DataFrame) -> DataFrame:
-    d = phrases.join(alias_totals(pairs), "alias").join(pairs, "alias").join(entity_totals(pairs), "entity_id")
-    return d.select("alias", "alias_freq", "phrase_freq", "entity_id", "entity_freq", "alias_entity_freq")
+_COLUMNS = ["alias", "alias_freq", "phrase_freq", "entity_id", "entity_freq", "alias_entity_freq"]
+
+
+def _totalled(pairs: DataFrame) -> DataFrame:
+    """pairs with the totals of their alias and entity, by windows: an exchange each, and no second reading of the pairs."""
+    total = lambda k: F.sum("alias_entity_freq").over(Window.partitionBy(k))
+    return pairs.withColumn("entity_freq", total("entity_id")).withColumn("alias_freq", total("alias"))
 
 
 def aggregate_counts(counts: DataFrame, fold_marks: bool = True) -> DataFrame:
     """(alias, alias_freq, phrase_freq, entity_id, entity_freq, alias_entity_freq) of normalized aliases."""
     feat = normalized_counts(counts, fold_marks)
-    return _joined(phrase_totals(feat), alias_entity_totals(feat))
+    return _totalled(alias_entity_totals(feat)).join(phrase_totals(feat), "alias").select(*_COLUMNS)
 
 
 def compute_counts(aggregated: DataFrame) -> DataFrame:
-    """The same columns, summed again from aggregated rows, phrase frequencies rescaled."""
+    """The same columns, summed again from aggregated rows, phrase frequencies rescaled. One pass: what phrase_rescaled needs of an alias is carried along its pairs."""
     feat = valid_counts(aggregated, ("alias", "entity_id"), ("alias_freq", "phrase_freq", "entity_freq", "alias_entity_freq")).distinct()
-    return _joined(phrase_rescaled(feat), alias_entity_totals(feat)).distinct()
+    pairs = feat.groupBy("entity_id", "alias").agg(F.sum("alias_entity_freq").alias("alias_entity_freq"), F.max("alias_freq").alias("_af"), F.max("phrase_freq").alias("_pf"))
+    w = Window.partitionBy("alias")
+    share = F.try_divide(F.sum("alias_entity_freq").over(w).cast("double"), F.max("_af").over(w).cast("double"))
+    return _totalled(pairs).withColumn("phrase_freq", F.ceil(share * F.max("_pf").over(w).cast("double")).cast("bigint")).select(*_COLUMNS)
 
 
 def grand_totals(joined: DataFrame) -> DataFrame:
     """One row: totals of distinct aliases, phrases, entities and pairs."""
+    joined = cut(joined)
     a = joined.select("alias", "alias_freq", "phrase_freq").distinct().agg(F.sum("alias_freq").alias("alias_total"), F.sum("phrase_freq").alias("phrase_total"))
     e = joined.select("entity_id", "entity_freq").distinct().agg(F.sum("entity_freq").alias("entity_total"))
     p = joined.select("alias", "entity_id", "alias_entity_freq").distinct().agg(F.sum("alias_entity_freq").alias("alias_entity_total"))
@@ -104,7 +113,8 @@ def joined_stats(graph: DataFrame, ids: DataFrame) -> DataFrame:
     graph: alias, alias_freq, alias_total, entity, entity_freq, alias_entity_freq. Search and alternative search counts have no source
     and are 0; left joins and defaults stay where they'd come in.
     """
-    g = valid_counts(graph, ("alias", "entity"), ("alias_freq", "alias_total", "entity_freq", "alias_entity_freq")).distinct()
+    # written once, as entities, aliases and pairs are three readings of it
+    g = cut(valid_counts(graph, ("alias", "entity"), ("alias_freq", "alias_total", "entity_freq", "alias_entity_freq")).distinct())
     known = g.select("entity").distinct().join(first_entity_id(ids), "entity", "left").withColumn("entity_id", F.coalesce("entity_id", F.lit("0"))).filter("entity_id <> '0'")
     entities = known.join(g.groupBy("entity").agg(F.max("entity_freq").alias("graph_entity_freq")), "entity", "left").select("entity", "entity_id", F.lit(1).cast("smallint").alias("type_id"), F.lit("Entity").alias("type"), *_zero("search_entity_freq", "alt_entity_freq"), F.coalesce("graph_entity_freq", F.lit(0)).alias("graph_entity_freq"))
     aliases = g.groupBy("alias").agg(F.max("alias_freq").alias("graph_alias_freq"), F.max("alias_total").alias("graph_total")).select("alias", *_zero("search_alias_freq", "search_clicks", "search_total", "alt_alias_freq", "alt_total"), F.coalesce("graph_alias_freq", F.lit(0)).alias("graph_alias_freq"), F.coalesce("graph_total", F.lit(0)).alias("graph_total"))
