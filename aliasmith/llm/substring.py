@@ -10,8 +10,8 @@ neighbours differ. Symbols of FREEZE words or more merge no further.
 Rounds in Spark:
 1. all documents are recompressed and the names of their top symbols, one row an occurrence, are
    grouped; names that occur at a single place are dropped: no repeat has them in its interior;
-2. where a document has shared symbols, the windows of LENGTH words near them (REACH words past
-   either end) are named by two fingerprints of their words;
+2. where a document has shared symbols, the windows of LENGTH words around them are named by two
+   fingerprints of their words, but for those that hold, well inside, a symbol of one place;
 3. windows are grouped by name. Those at two or more places verify the repeat, word for word;
    the first place by (doc_id, position) is the one that stays.
 
@@ -31,17 +31,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernel import cut, mix, row_bounds, slices, span_hash, words
+from .kernel import SLICE_BYTES, cut, free_name, mix, row_bounds, slices, span_hash, words
 
 LENGTH = 50
 LEVELS = 8
 FREEZE = 8
 #: Symbols of fewer words are too common to reveal anything, and are not counted.
 LEAST = 6
-REACH = 64
+#: A window is looked at if it lies within EDGE words of holding a shared symbol, and holds no symbol at one place only that is MARGIN words from both its ends: a repeat has equal symbols so far inside.
+EDGE, MARGIN = 16, 14
 _LONG_RUN = 16
 
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -95,12 +97,53 @@ def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = row[start]
         local = start - row_bounds(row, rows.num_rows)[at]
         ids = rows.column("doc_id").to_numpy()[at]
-        yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(ids), pa.array(local.astype(np.int32)), pa.array(size.astype(np.int32))], ["name", "doc_id", "pos", "size"])
-
-
-def _windows(length: int, reach: int):
+        yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(ids), pa.array(local << 32 | size)], ["name", "doc_id", "at"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    z = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([z.compress(x.as_buffer()) for x in b.column("text")], pa.binary())], ["doc_id", "packed"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded size in bytes, however far the texts unpack."""
+    z = zstandard.ZstdDecompressor()
+    for b in batches:
+        texts, lo, held = [], 0, 0
+        for i, x in enumerate(b.column("packed").to_pylist()):
+            texts.append(z.decompress(x))
+            held += len(texts[-1])
+            if held > 8 * SLICE_BYTES or i + 1 == b.num_rows:
+                part = b.slice(lo, len(texts))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), part.column("spots")], ["doc_id", "text", "spots"])
+                texts, lo, held = [], i + 1, 0
+
+
+def window_places(h: np.ndarray, row: np.ndarray, bounds: np.ndarray, who: np.ndarray, pos: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """First words of the windows to look at. who, pos, size: row, place in it and words of each shared symbol."""
+    n = len(h)
+    first = bounds[who] + pos
+
+    def covered(lo: np.ndarray, hi: np.ndarray, r: np.ndarray) -> np.ndarray:
+        lo, hi = np.maximum(bounds[r], lo), np.minimum(bounds[r + 1] - length + 1, hi)
+        ok = hi > lo
+        mark = np.bincount(lo[ok], minlength=n + 1) - np.bincount(hi[ok], minlength=n + 1)
+        return np.cumsum(mark[:n]) > 0
+
+    # a long run holds windows, others are held by them
+    near = covered(np.minimum(first, first + size - length) - EDGE, np.maximum(first, first + size - length) + EDGE + 1, who)
+    _, start, words_, runs = recompress(h, row)
+    shared = np.zeros(n, bool)
+    shared[first] = True
+    alone = (words_ >= LEAST) & ~runs & ~shared[start]
+    start, words_ = start[alone], words_[alone]
+    return np.flatnonzero(near & ~covered(start + words_ + MARGIN - length, start - MARGIN + 1, row[start]))
+
+
+def _windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, offs in slices(batches):
+        for rows, buf, offs in slices(_unpacked(batches)):
             s, e, row = words(buf, offs)
             n = len(s)
             if n < length:
@@ -109,16 +152,10 @@ def _windows(length: int, reach: int):
             h = span_hash(buf, s, e)
             # windows to look at, as a difference array over first words
             spots = rows.column("spots")
-            flat = spots.flatten()
+            flat = spots.flatten().to_numpy()
             who = np.repeat(np.arange(rows.num_rows), np.diff(np.asarray(spots.offsets)))
-            pos, size = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            lo = np.maximum(bounds[who], bounds[who] + pos - reach)
-            hi = np.minimum(bounds[who + 1] - length, bounds[who] + pos + size + reach - length) + 1
-            ok = hi > lo
-            mark = np.zeros(n + 1, np.int64)
-            np.add.at(mark, lo[ok], 1)
-            np.add.at(mark, hi[ok], -1)
-            at = np.flatnonzero(np.cumsum(mark[:n]) > 0)
+            pos, size = flat >> 32, flat & 0xFFFFFFFF
+            at = window_places(h, row, bounds, who, pos, size, length)
             if not len(at):
                 continue
             names = []
@@ -128,7 +165,8 @@ def _windows(length: int, reach: int):
                 pre = np.r_[np.uint64(0), np.cumsum(h * p[:n])]
                 names.append(mix((pre[at + length] - pre[at]) * inv[at]).view(np.int64))
             ids = rows.column("doc_id").to_numpy()[row[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(names[0]), pa.array(names[1]), pa.array(ids), pa.array((at - bounds[row[at]]).astype(np.int32))], ["w1", "w2", "doc_id", "pos"])
+            # 96 bits of name, and the place, in two numbers
+            yield pa.RecordBatch.from_arrays([pa.array(names[0]), pa.array(names[1] << 32 | (at - bounds[row[at]])), pa.array(ids)], ["w1", "w2", "doc_id"])
 
     return run
 
@@ -136,15 +174,28 @@ def _windows(length: int, reach: int):
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, pos, first): windows of `length` words that occur at two or more places; first: no earlier place has it."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    symbols = d.mapInArrow(_symbols, "name long, doc_id long, pos int, size int")
+    symbols = d.mapInArrow(_symbols, "name long, doc_id long, at long")
     # neighbours in the order of places tell whether a name is at two places, without holding a group
-    w = Window.partitionBy("name").orderBy("doc_id", "pos")
-    place = lambda f, w: f(F.struct("doc_id", "pos")).over(w)
-    shared = symbols.withColumn("shared", F.coalesce(place(F.lag, w) != F.struct("doc_id", "pos"), F.lit(False)) | F.coalesce(place(F.lead, w) != F.struct("doc_id", "pos"), F.lit(False))).filter("shared")
-    spots = shared.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "size")).alias("spots"))
-    windows = d.join(spots.hint("shuffle_hash"), "doc_id").mapInArrow(_windows(length, REACH), "w1 long, w2 long, doc_id long, pos int")
+    w = Window.partitionBy("name").orderBy("doc_id", "at")
+    here = F.struct("doc_id", "at")
+    differs = lambda x: F.coalesce(x != here, F.lit(False))
+    shared = symbols.withColumn("shared", differs(F.lag(here).over(w)) | differs(F.lead(here).over(w))).filter("shared")
+    spots = shared.groupBy("doc_id").agg(F.collect_list("at").alias("spots"))
+    # texts travel compressed
+    packed = d.mapInArrow(_packed, "doc_id long, packed binary")
+    windows = packed.join(spots.hint("shuffle_hash"), "doc_id").mapInArrow(_windows(length), "w1 long, w2 long, doc_id long")
+    pos = F.col("w2").bitwiseAND(0xFFFFFFFF).cast("int")
+    placed = windows.repartition("w1").select("w1", F.shiftright("w2", 32).cast("int").alias("w2"), "doc_id", pos.alias("pos"))
     v = Window.partitionBy("w1", "w2").orderBy("doc_id", "pos")
-    return windows.select("doc_id", "pos", place(F.lag, v).alias("before"), place(F.lead, v).alias("after")).filter((F.col("before").isNotNull() & (F.col("before") != F.struct("doc_id", "pos"))) | (F.col("after").isNotNull() & (F.col("after") != F.struct("doc_id", "pos")))).select("doc_id", "pos", (F.col("before").isNull() | (F.col("before") == F.struct("doc_id", "pos"))).alias("first"))
+    here = F.struct("doc_id", "pos")
+    marked = placed.select("doc_id", "pos", (F.first(here).over(v) != here).alias("before"), differs(F.lead(here).over(v)).alias("after"))
+    return marked.filter("before or after").select("doc_id", "pos", (~F.col("before")).alias("first"))
+
+
+def _by_document(windows: DataFrame) -> DataFrame:
+    """windows in order of doc_id and pos; what travels is two numbers a window."""
+    w = windows.select("doc_id", (F.col("pos").cast("long") * 2 + F.col("first").cast("long")).alias("at")).repartition("doc_id").sortWithinPartitions("doc_id", "at")
+    return w.select("doc_id", F.shiftright("at", 1).cast("int").alias("pos"), (F.col("at") % 2 == 1).alias("first"))
 
 
 def _spans(length: int):
@@ -173,8 +224,7 @@ def _spans(length: int):
 
 def spans(windows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, start_word, end_word): the windows of each document united."""
-    w = windows.select("doc_id", "pos").repartition("doc_id").sortWithinPartitions("doc_id", "pos")
-    return w.mapInArrow(_spans(length), "doc_id long, start_word long, end_word long")
+    return _by_document(windows).mapInArrow(_spans(length), "doc_id long, start_word long, end_word long")
 
 
 def shared_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -195,7 +245,7 @@ def shared_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if carry is not None and len(carry):
             yield _measure(carry, length)
 
-    w = repeated_windows(docs, length).repartition("doc_id").sortWithinPartitions("doc_id", "pos")
+    w = _by_document(repeated_windows(docs, length))
     return w.mapInArrow(run, "doc_id long, start_word long, end_word long, later_words long")
 
 
@@ -260,18 +310,19 @@ def _char_words(text: str) -> list[tuple[int, int]]:
 def drop_shared_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs without the passages that occur at an earlier place; documents of which no word is left are dropped. n_chars, where there is one, is set anew."""
     found = cut(spans(repeated_windows(docs, length).filter("not first"), length))
-    cuts = found.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_cuts"))
+    cut_id, cuts_name = free_name(docs, "cut_id"), free_name(docs, "cuts")
+    cuts = found.groupBy(F.col("doc_id").alias(cut_id)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(cuts_name))
     cols = docs.columns
-    joined = docs.join(cuts.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("_cut_id"), "left")
+    joined = docs.join(cuts.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col(cut_id), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, at = b.column("text").to_pylist(), b.column("_cuts")
+            texts, at = b.column("text").to_pylist(), b.column(cuts_name)
             hit = np.flatnonzero(np.asarray(at.is_valid()))
             gone = np.zeros(b.num_rows, bool)
             if len(hit):
                 some = b.take(pa.array(hit))
-                part = pa.RecordBatch.from_arrays([some.column("doc_id").cast(pa.int64()), some.column("text"), some.column("_cuts")], ["doc_id", "text", "cuts"])
+                part = pa.RecordBatch.from_arrays([some.column("doc_id").cast(pa.int64()), some.column("text"), some.column(cuts_name)], ["doc_id", "text", "cuts"])
                 done = [x for r in _remove(iter([part])) for x in r.column("text").to_pylist()]
                 for i, x in zip(hit, done):
                     texts[i] = x
@@ -279,5 +330,5 @@ def drop_shared_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns = [pa.array(texts, b.schema.field("text").type) if c == "text" else b.column(c) for c in cols]
             yield pa.RecordBatch.from_arrays(columns, cols).filter(pa.array(~gone))
 
-    out = joined.select(*[docs[c] for c in cols], "_cuts").mapInArrow(run, docs.schema)
+    out = joined.select(*[docs[c] for c in cols], cuts_name).mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in cols else out
