@@ -102,17 +102,18 @@ def fit(ids: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray) -> M
         return Model(np.zeros(size, np.float32), 0.0, False)
     keep = np.flatnonzero(use)
     y = y[keep]
-    cols = np.concatenate([ids[i] for i in keep])
-    vals = np.concatenate([counts[i] / counts[i].sum() for i in keep])
-    lens = np.array([len(ids[i]) for i in keep])
-    row = np.repeat(np.arange(len(keep)), lens)
-    present = np.bincount(cols, y[row], size), np.bincount(cols, 1 - y[row], size)
-    r = np.log((SMOOTH + present[0]) / (2 * SMOOTH + y.sum())) - np.log((SMOOTH + present[1]) / (2 * SMOOTH + (1 - y).sum()))
-    r[(present[0] + present[1] < LEAST_TEXTS) | (np.abs(r) < LEAST_RATIO)] = 0
-    live = r[cols] != 0
-    if not live.any():
+    # a text at a time: only the n-grams that keep a weight are ever held together
+    present = np.zeros((2, size))
+    for i, k in zip(keep, y):
+        present[int(k)][ids[i]] += 1
+    r = np.log((SMOOTH + present[1]) / (2 * SMOOTH + y.sum())) - np.log((SMOOTH + present[0]) / (2 * SMOOTH + (1 - y).sum()))
+    r[(present.sum(0) < LEAST_TEXTS) | (np.abs(r) < LEAST_RATIO)] = 0
+    parts = [(live := r[ids[i]] != 0, ids[i][live], counts[i][live] / counts[i].sum()) for i in keep]
+    row = np.repeat(np.arange(len(keep), dtype=np.int32), [len(c) for _, c, _ in parts])
+    cols, vals = np.concatenate([c for _, c, _ in parts]), np.concatenate([v for _, _, v in parts])
+    del parts
+    if not len(cols):
         return Model(np.zeros(size, np.float32), 0.0, False)
-    cols, vals, row = cols[live], vals[live], row[live]
     names, cols = np.unique(cols, return_inverse=True)
     r, size = r[names], len(names)
     # frequencies are small: one unit for all brings the features near 1
@@ -143,8 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
     # at most `rows` pairs of numbers: bounded whatever the size of the tables
     got = d.join(F.broadcast(some), "doc_id").mapInArrow(_count, "toxic int, ids binary, counts binary").toArrow()
-    ids = [np.frombuffer(x, np.int32) for x in got.column("ids").to_pylist()]
-    counts = [np.frombuffer(x, np.int32) for x in got.column("counts").to_pylist()]
+    ids, counts = ([np.frombuffer(x.as_buffer(), np.int32) for x in got.column(c)] for c in ("ids", "counts"))
     return fit(ids, counts, np.array(got.column("toxic").to_pylist(), np.int64).clip(0, 1))
 
 
