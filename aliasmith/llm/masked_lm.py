@@ -103,13 +103,21 @@ class Network:
     def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = self.emb[context].reshape(len(context), -1)
         h = np.tanh(x @ self.w1 + self.b1)
-        return x, h, h @ self.w2 + self.b2
+        z = h @ self.w2
+        z += self.b2
+        return x, h, z
+
+    def bounded(self) -> bool:
+        """Whether no output can be so large that its exponential isn't a finite normal number; hidden values are within 1."""
+        return float((np.abs(self.w2).sum(0) + np.abs(self.b2)).max()) < 60
 
     def log_probability(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
         out = np.empty(len(token), np.float32)
+        bounded = self.bounded()
         for i in range(0, len(token), 1024):
             _, _, z = self.forward(context[i : i + 1024])
-            z -= z.max(1, keepdims=True)
+            if not bounded:
+                z -= z.max(1, keepdims=True)
             own = z[np.arange(len(z)), token[i : i + 1024]]
             np.exp(z, out=z)
             out[i : i + 1024] = own - np.log(z.sum(1))
@@ -119,25 +127,26 @@ class Network:
         """One step of gradient descent on the mean cross-entropy."""
         n = len(token)
         x, h, z = self.forward(context)
-        z -= z.max(1, keepdims=True)
+        if not self.bounded():
+            z -= z.max(1, keepdims=True)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(n), token] -= 1
-        z /= n
+        z *= (np.float32(1 / n) / z.sum(1))[:, None]
+        z.reshape(-1)[np.arange(n) * TOKENS + token] -= np.float32(1 / n)
         gh = (z @ self.w2.T) * (1 - h * h)
-        gx = (gh @ self.w1.T).reshape(-1, DIM)
+        gx = gh @ self.w1.T
         g = [h.T @ z, z.sum(0), x.T @ gh, gh.sum(0)]
-        norm = np.sqrt(sum(float((v * v).sum()) for v in (*g, gx)))
+        norm = np.sqrt(sum(float(np.vdot(v, v)) for v in (*g, gx)))
         rate = rate * min(1.0, CLIP / (norm + 1e-12))
         self.w2 -= rate * g[0]
         self.b2 -= rate * g[1]
         self.w1 -= rate * g[2]
         self.b1 -= rate * g[3]
         # an embedding's gradient is the sum over its places: a product with the one-hot matrix
-        flat = context.ravel()
+        flat = context.ravel().astype(np.int16)
         order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
-        self.emb[flat[order][first]] -= rate * np.add.reduceat(gx[order], first, axis=0)
+        sorted_ = flat[order]
+        first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+        self.emb[sorted_[first]] -= rate * np.add.reduceat(gx.reshape(-1, DIM)[order], first, axis=0)
 
 
 def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
