@@ -118,4 +118,6 @@ def choose(mentions: DataFrame, pairs: DataFrame, direction: str = "forward") ->
         return pd.DataFrame({"doc_id": m["doc_id"].iloc[0], "pos": order, "entity": [names[i][k] for i, k in enumerate(picks)], "score": scores})
 
     m = mentions.select("doc_id", "pos", "k", "entity", "local")
-    return m.groupBy("doc_id").cogroup(pairs.groupBy("doc_id")).applyInPandas(run, f"doc_id {key}, pos int, entity string, score double")
+    # new columns, as both sides may come from the same table
+    p = pairs.select(*[F.col(k).alias(k) for k in ("doc_id", "pos", "p", "c", "pair")])
+    return m.groupBy("doc_id").cogroup(p.groupBy("doc_id")).applyInPandas(run, f"doc_id {key}, pos int, entity string, score double")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import coherence, rank, segment, store
+from ..operators import coherence, mining, rank, segment, store
 
 GRID_THRESHOLD = -6.0
 
@@ -96,7 +96,8 @@ def link_texts(mentions: DataFrame, candidates: DataFrame, names: DataFrame, vec
     c = m.join(got, "surface")
     place = F.dense_rank().over(_by("doc_id", "pos"))
     slots = F.row_number().over(_by(["doc_id", "pos"], "k")) - 1
-    c = c.withColumn("_p", place).withColumn("k", slots)
+    # read three times from here on
+    c = mining.cut(c.withColumn("_p", place).withColumn("k", slots))
     d = c.select("doc_id", F.col("_p").alias("pos"), "surface", "k", "entity")
     chosen = coherence.choose(coherence.local_scores(d, vectors), coherence.pair_scores(d, vectors)).select("doc_id", F.col("pos").alias("_p"), "entity")
     back = c.join(chosen, ["doc_id", "_p", "entity"]).groupBy("doc_id", "pos").agg(F.min_by(F.struct("entity_id", "entity"), "k").alias("e"))

@@ -182,7 +182,6 @@ QUERIES = {
     "rank_contextual": link_contextual,
     "words_for_types": words_for_types,
     "grid_link": grid_link,
-    "link_texts": link_texts,
 }
 
 _SCORED = f"{CANDIDATES}, scored AS (SELECT cand.*, {R1} AS score FROM cand CROSS JOIN stats), best AS (SELECT alias, entity_id, type, score FROM (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY score DESC, ix) AS k FROM scored) WHERE k = 1)"
