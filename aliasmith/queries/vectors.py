@@ -93,7 +93,7 @@ def assign_closest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of the embeddings, starting from their labels."""
     v = _table(spark, sf_dir)
-    d = op.kmeans_cosine(v.select("word", "vector"), 10, iterations=5, start=v.select("word", F.col("label").alias("cluster")))
+    d = op.kmeans_cosine(v.select("word", "vector"), 10, start=v.select("word", F.col("label").alias("cluster")))
     return d.select("word", "cluster")
 
 
