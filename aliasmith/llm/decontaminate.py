@@ -5,6 +5,9 @@ SimHash (64 bits) of its shingles of SHINGLE words, a shingle weighing as much a
 bytes. Windows that share no shingle with an item have similarity 0 to it, so only windows with
 some shingle of an item of their length are made.
 
+A document with fewer words than an item is its own one window for it. It is compared with every such item that it
+shares a shingle with, by the exact similarity, as fingerprints of unlike lengths lie further apart.
+
 Multi-index: 64 bits are BLOCKS blocks; fingerprints within RADIUS bits agree in some block up to
 RADIUS // BLOCKS bits, by the pigeonhole principle. The index lists, for each value of each
 block, the items within that distance, so every pair within RADIUS is met. Those are verified by
@@ -97,6 +100,11 @@ class Items:
         self.short = sorted({n for n in self.length if n < SHINGLE})
         by = {k: [(s, n) for s, kk, n in own if kk == k] for k in range(1, SHINGLE + 1)}
         self.owned = {k: (np.array([s for s, _ in v], np.uint64), np.array([n for _, n in v], np.int64)) for k, v in by.items() if v}
+        # which items own a shingle, for documents shorter than they are
+        who = [i for i, n in enumerate(self.length) if n > SHINGLE for _ in self.shingle[i]]
+        all_ = np.concatenate([np.zeros(0, np.uint64), *[s for n, s in zip(self.length, self.shingle) if n > SHINGLE]])
+        order = np.argsort(all_, kind="stable")
+        self.long_shingle, self.long_item = all_[order], np.array(who, np.int64)[order]
         # multi-index: for each block a list of items for each value
         width = 64 // BLOCKS
         masks = [sum(1 << x for x in c) for d in range(radius // BLOCKS + 1) for c in combinations(range(width), d)]
@@ -170,8 +178,29 @@ class Items:
                     first = int(b - bounds[r0])
                     if old is None or (sim, -first) > (old[0], -old[1]):
                         best[r0, i] = (sim, first)
+        for r, i, sim in self._shorter(h, size, row, bounds):
+            if sim >= least:
+                best[r, i] = (sim, 0)
         return [(r, i, first, sim) for (r, i), (sim, first) in sorted(best.items())]
 
+    def _shorter(self, h: np.ndarray, size: np.ndarray, row: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(row, item, similarity) of whole rows with the longer items that they share a shingle with."""
+        if len(h) < SHINGLE or not len(self.long_shingle):
+            return
+        lens, count = np.array(self.length), np.diff(bounds)
+        short = count[row] < lens.max()
+        ok = np.flatnonzero(short[: len(h) - SHINGLE + 1] & (row[: len(h) - SHINGLE + 1] == row[SHINGLE - 1 :]))
+        s, w = weighted_shingles(h, size, SHINGLE)
+        lo, hi = np.searchsorted(self.long_shingle, s[ok], "left"), np.searchsorted(self.long_shingle, s[ok], "right")
+        n = hi - lo
+        item = self.long_item[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+        r = row[np.repeat(ok, n)].astype(np.int64)
+        longer = lens[item] > count[r]
+        for key in np.unique(r[longer] * len(lens) + item[longer]).tolist():
+            r0, i = divmod(key, len(lens))
+            b, e = bounds[r0], bounds[r0 + 1] - SHINGLE + 1
+            yield r0, i, similarity(s[b:e], w[b:e], self.shingle[i], self.weight[i])
+
     @staticmethod
     def _prints(s: np.ndarray, w: np.ndarray, begin: np.ndarray, m: np.ndarray) -> np.ndarray:
         """Fingerprints of windows of m shingles from begin on, sorted by begin: running sums of votes over stretches that windows cover."""
