@@ -32,3 +32,19 @@ def test_documents_shorter_than_the_item(spark):
     assert set(got) == set(want)
     assert all(abs(got[k].similarity - want[k]) < 1e-9 and got[k].start_word == 0 for k in got)
     assert {x.doc_id for x in decontaminate.drop_leaks(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
+def test_items_with_several_words_replaced(spark):
+    r = random.Random(11)
+    items = [(i, words(r, r.randint(15, 59))) for i in range(40)]
+    rows = []
+    for i, t in items:
+        for edits in (0, 1, 2, max(2, len(t.split()) // 10)):
+            w = t.split()
+            for at in r.sample(range(len(w)), edits):
+                w[at] = words(r, 1) + "z"
+            rows.append((len(rows), " ".join([words(r, 40), *w, words(r, 40)]), i))
+    clean = [(1000 + k, words(r, 120), None) for k in range(40)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows + clean], "doc_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(d, i) for d, _, i in rows}
