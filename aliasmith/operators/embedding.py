@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, dequantize, golomb_modulus, natural, norm, quantize
@@ -172,20 +172,21 @@ def first_vectors(vectors: DataFrame, key: str = "entity", order: str = "ix") ->
     return vectors.groupBy(key).agg(F.min_by("vector", order).alias("vector"))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 10.0, norm_only: bool = False, seed: int = 1234, most: int = 50_000) -> np.ndarray:
-    """Weights of a regularized logistic regression by gradient descent; component 0 isn't regularized. norm_only: the objective that decides on steps leaves out the likelihood."""
-    c, n = c / 2, len(y)
+def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 10.0, norm_only: bool = False, seed: int = 1234, most: int = 50_000, times: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a regularized logistic regression by gradient descent; component 0 isn't regularized. norm_only: the objective that decides on steps leaves out the likelihood. times: how often each row counts, else once."""
+    times = np.ones(len(y)) if times is None else times
+    c, n = c / 2, float(times.sum())
     w = np.random.default_rng(seed).random(x.shape[1]).astype(np.float32)
     x = x.astype(np.float32)
     alpha, before = 1.0, 100.0
     for _ in range(most):
-        g = x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -80, 80))) - y)
+        g = x.T @ (times * (1 / (1 + np.exp(-np.clip(x @ w, -80, 80))) - y))
         g[1:] += c * w[1:]
         w = (w - alpha * g / n).astype(np.float32)
         now = c / n * float(w @ w)
         if not norm_only:
             p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -80, 80))), 1e-30, 1 - 1e-7)
-            now -= float((y * np.log(p) + (1 - y) * np.log1p(-p)).sum()) / n
+            now -= float((times * (y * np.log(p) + (1 - y) * np.log1p(-p))).sum()) / n
         if abs(now - before) < 1e-5:
             break
         if now > before:
@@ -194,18 +195,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 10.0, norm_only: bool
     return w
 
 
-def train_entities(descriptions: DataFrame, vectors: DataFrame, rho: int = -1, most_words: int = 150, c: float = 10.0, norm_only: bool = False, most: int = 50_000) -> DataFrame:
+def train_entities(descriptions: DataFrame, vectors: DataFrame, rho: int = -1, most_words: int | None = None, c: float = 10.0, norm_only: bool = False, most: int = 50_000) -> DataFrame:
     """(entity, vector): for each entity a regression that tells the vectors of its words from those of others.
 
-    descriptions: entity, words (text). Positives are the entity's words with a vector, up to one more than most_words; negatives, rho or as many as
+    descriptions: entity, words (text). Positives are all of the entity's words with a vector, or the first most_words + 1 of them, each as often as it occurs; negatives, rho or as many as
     positives, are drawn from the vocabulary by a generator of the entity's own, words of the entity excluded. The vocabulary's
     negatives come from a pool drawn once by hash of the word, in one sample a task holds.
     """
     size = 4096
     pool = vectors.select("word", "vector").orderBy(F.xxhash64("word"), "word").limit(size).toPandas()
     pool_words, pool_vectors = pool["word"].tolist(), np.stack(pool["vector"].map(np.asarray)) if len(pool) else np.zeros((0, 1))
-    w = descriptions.select("entity", F.posexplode(F.split("words", r"\s+")).alias("ix", "word")).join(vectors.select("word", "vector"), "word")
-    g = w.groupBy("entity").agg(F.slice(F.sort_array(F.collect_list(F.struct("ix", "word", "vector"))), F.lit(1), F.lit(most_words + 1)).alias("p"))
+    w = descriptions.select("entity", F.posexplode(F.split("words", r"\s+")).alias("ix", "word")).join(vectors.select("word"), "word")
+    if most_words is not None:
+        w = w.withColumn("_k", F.row_number().over(Window.partitionBy("entity").orderBy("ix"))).filter(F.col("_k") <= most_words + 1)
+    # a word that occurs often is one weighted row
+    n = w.groupBy("entity", "word").agg(F.count("*").alias("n")).join(vectors.select("word", "vector"), "word")
+    g = n.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("word", "n", "vector"))).alias("p"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -215,10 +220,12 @@ def train_entities(descriptions: DataFrame, vectors: DataFrame, rho: int = -1, m
                 pos = np.array([x["vector"] for x in p], np.float32)
                 r = np.random.default_rng(abs(hash_of(entity)))
                 free = [i for i, v in enumerate(pool_words) if v not in own]
-                neg = pool_vectors[r.choice(free, len(pos) if rho < 0 else rho)] if free else np.zeros((0, pos.shape[1]))
+                often = np.array([x["n"] for x in p], np.float64)
+                drawn, less = np.unique(r.choice(free, int(often.sum()) if rho < 0 else rho), return_counts=True) if free else (np.zeros(0, np.int64), np.zeros(0))
+                neg = pool_vectors[drawn] if free else np.zeros((0, pos.shape[1]))
                 x = np.concatenate([pos, neg])
                 y = np.r_[np.ones(len(pos)), np.zeros(len(neg))]
-                out.append((entity, fit_logistic(x, y, c, norm_only, most=most).tolist()))
+                out.append((entity, fit_logistic(x, y, c, norm_only, most=most, times=np.r_[often, less]).tolist()))
             yield pd.DataFrame(out, columns=["entity", "vector"])
 
     return g.mapInPandas(run, "entity string, vector array<float>")

@@ -100,7 +100,7 @@ def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def train_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of brands from the words of the names of their parts."""
     p = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("entity")).agg(F.array_join(F.sort_array(F.collect_list("p_name")), " ").alias("words"))
-    return op.train_entities(p, word_vectors(spark, sf_dir), rho=32, most=2000)
+    return op.train_entities(p, word_vectors(spark, sf_dir), rho=32)
 
 
 def first_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

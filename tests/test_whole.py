@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from aliasmith.operators import embedding
 from aliasmith.queries import vectors
 
 
@@ -21,3 +22,13 @@ def test_kmeans_query_runs_to_convergence(spark, tmp_path):
         now = new
     assert 5 < rounds < 100
     assert {r.word: r.cluster for r in vectors.kmeans(spark, str(tmp_path)).collect()} == dict(enumerate(now.tolist()))
+
+
+def test_entities_are_trained_on_all_words(spark):
+    v = {"a": [1.0, 0.2, 0.1], "b": [0.1, 1.0, -0.3], "z": [-0.5, 0.3, 1.0]}
+    words = ["a"] * 300 + ["b"] * 500
+    table = spark.createDataFrame(list(v.items()), "word string, vector array<double>")
+    got = embedding.train_entities(spark.createDataFrame([("e", " ".join(words))], "entity string, words string"), table, rho=40).first().vector
+    x = np.array([v[k] for k in words] + [v["z"]] * 40)
+    want = embedding.fit_logistic(x, np.r_[np.ones(800), np.zeros(40)])
+    assert np.abs(np.array(got) - want).max() < 1e-3
