@@ -17,7 +17,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -47,6 +48,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dense_numbers(df: DataFrame, key: Column, name: str) -> DataFrame:
+    """(key, name): the distinct keys numbered from 0 in their order. Ranges are sorted and counted each for itself, and the counts before a range added up; no task sees all keys."""
+    spread = df.select(key.alias("key")).distinct().repartitionByRange("key").sortWithinPartitions("key")
+    kept = cut(spread.withColumn("part", F.spark_partition_id()))
+    sizes = kept.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy("key")) - 1
+    return kept.join(F.broadcast(before), "part").select("key", (F.col("before") + within).alias(name))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with as many underscores behind it as set it apart from the columns of df."""
     taken = {c.lower() for c in df.columns}
