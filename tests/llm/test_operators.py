@@ -4,15 +4,13 @@ import base64
 import random
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from conftest import DATA, rows_of, rows_of_sql
 
-from aliasmith.llm import bpe, decontaminate, html_extract, masked_lm, neardup, quality, queries, substring, token_counts, toxicity, url_rules
-from aliasmith.llm.kernel import slices
+from aliasmith.llm import bpe, decontaminate, html_extract, neardup, quality, queries, substring, token_counts, toxicity, url_rules
 
 DOCS = "doc_id long, text string, _gone string, bucket int, spots string"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -357,43 +355,3 @@ def test_toxicity_on_held_out_documents(spark):
     kept = toxicity.drop_toxic(edge(spark), labels)
     assert kept.count() == 8 and kept.columns == edge(spark).columns
     assert toxicity.drop_toxic(empty(spark), labels.limit(0)).count() == 0
-
-
-def test_masked_lm_scores_are_the_networks(spark):
-    d = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
-    net = masked_lm.train(d)
-    got = {x.doc_id: x for x in masked_lm.score(d, net).collect()}
-    start = masked_lm.start(masked_lm.vocabulary(d))
-    before = {x.doc_id: x for x in masked_lm.score(d, start).collect()}
-    assert sum(x.log_likelihood for x in got.values()) > sum(x.log_likelihood for x in before.values())
-    # a document by hand: each token from those beside it
-    row = next(r for r in d.collect() if r.text and 20 < got[r.doc_id].n_tokens < 200)
-    (_, buf, offs), = slices(iter(pa.Table.from_pylist([{"text": row.text}]).to_batches()))
-    token, _ = net.tokens(buf, offs)
-    total = 0.0
-    for i, t in enumerate(token):
-        context = [token[i + k] if 0 <= i + k < len(token) else 0 for k in range(-masked_lm.SIDE, masked_lm.SIDE + 1) if k]
-        h = np.tanh(np.concatenate([net.emb[c] for c in context]) @ net.w1 + net.b1)
-        z = (h @ net.w2 + net.b2).astype(np.float64)
-        total += z[t] - np.log(np.exp(z).sum())
-    assert abs(total - got[row.doc_id].log_likelihood) < 1e-2
-    shuffled = spark.createDataFrame([(0, row.text), (1, " ".join(random.Random(1).sample(row.text.split(), len(row.text.split()))))], "doc_id long, text string")
-    assert masked_lm.score(shuffled, net).count() == 2
-
-
-def test_masked_lm_edges(spark):
-    net = masked_lm.train(edge(spark))
-    got = {(x.doc_id, x.n_tokens): x for x in masked_lm.score(edge(spark), net).collect()}
-    assert got[1, 0].log_likelihood == 0 and got[1, 0].per_token is None and got[5, 60_000].log_likelihood < 0
-    assert masked_lm.score(empty(spark), masked_lm.train(empty(spark))).count() == 0
-
-
-def test_network_gradient():
-    net = masked_lm.start((np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)))
-    r = np.random.default_rng(3)
-    context, token = r.integers(0, masked_lm.TOKENS, (64, 2 * masked_lm.SIDE)), r.integers(0, masked_lm.TOKENS, 64)
-    a = net.log_probability(context, token).mean()
-    new = net.with_flat(net.flat())
-    new.step(context, token, 0.1)
-    assert new.log_probability(context, token).mean() > a
-    assert pd.notna(a)
