@@ -58,6 +58,23 @@ def dense_numbers(df: DataFrame, key: Column, name: str) -> DataFrame:
     return kept.join(F.broadcast(before), "part").select("key", (F.col("before") + within).alias(name))
 
 
+def own_numbers(docs: DataFrame) -> tuple[DataFrame | None, bool]:
+    """(doc_id, print, own): documents numbered in order of doc_id and a fingerprint of the text, if a doc_id has several texts, else nothing; and whether a doc_id occurs in several rows. Rows of null doc_id or text don't count."""
+    prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print")).filter("doc_id is not null and text is not null")
+    found = cut(prints.groupBy("doc_id").agg((F.min("print") != F.max("print")).alias("many"), (F.count("*") > 1).alias("twice")).filter("many or twice"))
+    if found.filter("many").isEmpty():
+        return None, not found.isEmpty()
+    return cut(dense_numbers(prints, F.struct("doc_id", "print"), "own").select("key.doc_id", "key.print", "own")), True
+
+
+def numbered(docs: DataFrame, own: DataFrame | None) -> DataFrame:
+    """(doc_id, text) with the documents' own numbers for their doc_ids, where there are such."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if own is None:
+        return d
+    return d.withColumn("print", F.xxhash64("text")).join(own, ["doc_id", "print"]).select(F.col("own").alias("doc_id"), "text")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with as many underscores behind it as set it apart from the columns of df."""
     taken = {c.lower() for c in df.columns}

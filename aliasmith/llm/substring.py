@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernel import SLICE_BYTES, cut, dense_numbers, free_name, mix, row_bounds, slices, span_hash, words
+from .kernel import SLICE_BYTES, cut, free_name, mix, numbered, own_numbers, row_bounds, slices, span_hash, words
 
 LENGTH = 50
 LEVELS = 8
@@ -231,14 +231,6 @@ def _windows(length: int):
     return run
 
 
-def _own_numbers(docs: DataFrame) -> DataFrame | None:
-    """(doc_id, print, own): documents numbered in order of doc_id and a fingerprint of the text, if a doc_id has several texts; else nothing."""
-    prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print")).filter("doc_id is not null and text is not null")
-    if prints.groupBy("doc_id").agg((F.min("print") != F.max("print")).alias("many")).filter("many").isEmpty():
-        return None
-    return cut(dense_numbers(prints, F.struct("doc_id", "print"), "own").select("key.doc_id", "key.print", "own"))
-
-
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, pos, first): windows of `length` words that occur at two or more places; first: no earlier place has it. docs: of one text to a doc_id."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
@@ -260,14 +252,6 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return marked.filter("again or before or after").select("doc_id", "pos", (~F.col("before")).alias("first"))
 
 
-def _numbered(docs: DataFrame, own: DataFrame | None) -> DataFrame:
-    """(doc_id, text) with the documents' own numbers for their doc_ids, where there are such."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if own is None:
-        return d
-    return d.withColumn("print", F.xxhash64("text")).join(own, ["doc_id", "print"]).select(F.col("own").alias("doc_id"), "text")
-
-
 def _by_document(windows: DataFrame) -> DataFrame:
     """windows in order of doc_id and pos; what travels is two numbers a window."""
     w = windows.select("doc_id", (F.col("pos").cast("long") * 2 + F.col("first").cast("long")).alias("at")).repartition("doc_id").sortWithinPartitions("doc_id", "at")
@@ -321,8 +305,8 @@ def shared_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if carry is not None and len(carry):
             yield _measure(carry, length)
 
-    own = _own_numbers(docs)
-    w = _by_document(repeated_windows(_numbered(docs, own), length))
+    own, _ = own_numbers(docs)
+    w = _by_document(repeated_windows(numbered(docs, own), length))
     found = w.mapInArrow(run, "doc_id long, start_word long, end_word long, later_words long")
     if own is None:
         return found
@@ -368,8 +352,8 @@ def drop_shared_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs without the passages that occur at an earlier place; documents of which no word is left are dropped. n_chars, where there is one, is set anew."""
     cut_id, cuts_name, print_ = free_name(docs, "cut_id"), free_name(docs, "cuts"), free_name(docs, "print_of")
     cols = docs.columns
-    own = _own_numbers(docs)
-    found = cut(spans(repeated_windows(_numbered(docs, own), length).filter("not first"), length))
+    own, _ = own_numbers(docs)
+    found = cut(spans(repeated_windows(numbered(docs, own), length).filter("not first"), length))
     cuts = found.groupBy(F.col("doc_id").alias(cut_id)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(cuts_name))
     if own is None:
         joined = docs.join(cuts.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col(cut_id), "left")

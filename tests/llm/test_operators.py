@@ -135,14 +135,51 @@ def test_near_duplicate_edges(spark):
 
 
 def test_centres_in_a_crowded_bucket():
+    r = np.random.default_rng(1)
+    least = [np.sort(x).tobytes() for x in r.choice(1 << 31, (100, neardup.SKETCH), replace=False).astype(np.uint32)] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 200), pa.array([0] * 200), pa.array(np.arange(200)), pa.array(least)], ["bucket", "part", "doc_id", "sketch"])
+    for k in (1, 7, 200):
+        out = [x for b in neardup._centres(0.45)(iter([batch.slice(i, k) for i in range(0, 200, k)])) for x in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
+        assert sorted(out) == sorted([(i, i + 100) for i in range(100)] + [(i, i) for i in range(100)])
+
+
+def test_similarity_is_exact_for_short_texts_and_close_for_long_ones():
+    r = np.random.default_rng(2)
+    for n, error in ((5, 1e-12), (150, 1e-12), (20_000, 0.12)):
+        for share in (0.0, 0.3, 0.7, 1.0):
+            x = r.choice(1 << 62, 2 * n, replace=False).astype(np.uint64)
+            a, b = x[:n], np.r_[x[: int(share * n)], x[n : 2 * n - int(share * n)]]
+            s, at = np.r_[a, b], np.repeat([0, 1], [len(a), len(b)])
+            p, q = (neardup._matrix([y]) for y in neardup.sketches(s, at, 2))
+            assert abs(neardup.similar(p, q)[0] - len(np.intersect1d(a, b)) / len(np.union1d(a, b))) <= error
+
+
+@pytest.mark.parametrize("split", [3, 4096])
+def test_bucket_with_many_unlike_documents(spark, monkeypatch, split):
+    # all share one passage, so many share buckets, and only copies are alike
+    monkeypatch.setattr(neardup, "SPLIT", split)
+    r = random.Random(3)
+    common = words(r, 40)
+    texts = [f"{common} {words(r, 60)}" for _ in range(60)]
+    rows = [(i + 60 * k, t) for k in (0, 1, 2) for i, t in enumerate(texts)]
+    rows = [(i, t + (f" {words(r, 2)}" if i >= 60 else "")) for i, t in rows]
+    got = {x.doc_id: x.kept_id for x in neardup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == {i: i % 60 for i in range(60, 180)}
 
 
-    r = np.random.default_rng(1)
-    sig = r.integers(0, 1 << 16, (200, neardup.BINS)).astype(np.uint16)
-    sig[100:] = sig[:100]
-    batch = pa.RecordBatch.from_arrays([pa.array([1] * 200), pa.array(np.arange(200)), pa.array([x.tobytes() for x in sig]), pa.nulls(200, pa.binary())], ["bucket", "doc_id", "sig", "few"])
-    out = [x for k in (1, 7, 200) for b in neardup._centres(0.45)(iter([batch.slice(i, k) for i in range(0, 200, k)])) for x in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
-    assert sorted(out) == sorted([(i, i + 100) for i in range(100)] * 3)
+def test_components_of_chains_and_rings(spark):
+    chain, ring = [(i, i + 1) for i in range(40)], [(100 + i, 100 + (i + 7) % 30) for i in range(30)]
+    edges = spark.createDataFrame([(min(a, b), max(a, b)) for a, b in chain + ring], "a long, b long")
+    assert {x.node: x.root for x in neardup.components(edges).collect()} == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 130)}}
+
+
+def test_near_duplicate_rows_of_one_doc_id(spark):
+    r = random.Random(4)
+    a, b, c = (words(r, 80) for _ in range(3))
+    rows = [(1, a), (2, a + " end"), (2, b), (3, b), (3, c), (3, c), (4, ".."), (4, ".."), (5, None), (5, None)]
+    kept = sorted((x.doc_id, x.text or "") for x in neardup.drop_near_duplicates(docs_of(spark, rows)).collect())
+    assert kept == sorted([(1, a), (2, b), (3, c), (4, ".."), (4, ".."), (5, ""), (5, "")])
+    assert sorted((x.doc_id, x.kept_id) for x in neardup.near_duplicates(docs_of(spark, rows)).collect()) == [(2, 1), (3, 2)]
 
 
 def brute_windows(rows, length):
