@@ -11,6 +11,7 @@ text. A null text counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
@@ -103,7 +104,7 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(n, base, np.uint64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
-        if n > 4 * SLICE_BYTES:
+        if n > SLICE_BYTES + 1:
             return out[0], out[1]
         _powers = (out[0], out[1])
     return _powers
@@ -139,6 +140,20 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", lower: bool =
             buf, offs = flat(pc.utf8_lower(part) if lower else part)
             yield rows, buf, offs
             i = j
+    _release()
+
+
+def _release() -> None:
+    """Give memory that a task has freed back to the system: workers live on, and others run beside them."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
 
 
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
