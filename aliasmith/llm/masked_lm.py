@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from .kernel import cut, mix, row_bounds, slices, span_hash, words
 
-CLASSES, SLOTS, TAILS = 32, 128, 256
+CLASSES, SLOTS, TAILS = 64, 64, 256
 HEAD = CLASSES * SLOTS - TAILS
 SIDE, DIM, HIDDEN = 2, 16, 32
-BATCH, RATE = 4096, 0.1
+BATCH, RATE = 8192, 0.1
 #: Scores of outcomes are held within, so that no exponential overflows.
 _BOUND = 60
 SHARD_TOKENS, ROUNDS = 8_000_000, 3
