@@ -10,8 +10,8 @@ At a similarity as low as SIMILARITY, fingerprints of an edited copy (weighted S
 those of unlike texts, so the search doesn't go by them. Their multi-index finds items within RADIUS bits (Items.near):
 64 bits are BLOCKS blocks; fingerprints within RADIUS bits agree in some block up to RADIUS // BLOCKS bits.
 
-The items go to every task in groups of GROUP_ITEMS, one pass over the documents a group, so that
-what a task holds has a bound however long the benchmark is. Items of fewer than SHINGLE words
+The items go to every task in groups of GROUP_BYTES, one pass over the documents a group, so that
+what a task holds has a bound however long the benchmark is; a text that repeats itself costs no more than its length. Items of fewer than SHINGLE words
 are one shingle. Null or wordless items and texts match nothing; null doc_ids take no part in the
 report, and their rows are judged like others when documents are dropped.
 """
@@ -34,8 +34,10 @@ SHINGLE = 3
 BLOCKS, RADIUS = 4, 19
 #: What copies with several words replaced still reach; each breaks SHINGLE shingles on both sides. Clean pairs of the tables reach about 0.2.
 SIMILARITY = 0.25
-#: Bound of what is sent to every task at once.
-GROUP_ITEMS = 1000
+#: Bound of what is sent to every task at once: bytes of items, beside the one that passes it.
+GROUP_BYTES = 4 << 20
+#: Pairs of a shingle's place and an item that has it, held at once.
+MOST_HITS = 2_000_000
 
 _BITS = np.arange(64, dtype=np.uint64)
 
@@ -152,30 +154,62 @@ class Items:
             if len(h) < k:
                 continue
             s, w = weighted_shingles(h, size, k)
+            inside = row[: len(s)] == row[k - 1 :]
             lo, hi = np.searchsorted(own, s, "left"), np.searchsorted(own, s, "right")
-            hit = np.flatnonzero((hi > lo) & (row[: len(s)] == row[k - 1 :]))
+            hit = np.flatnonzero((hi > lo) & inside)
             if not len(hit):
                 continue
-            count = (hi - lo)[hit]
-            at = np.repeat(hit, count)
-            item = who[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo[hit], count)]
-            # the union weighs no less than the item, so what is common weighs `least` of the item at least
-            key, inverse = np.unique(row[at].astype(np.int64) * len(self.ids) + item, return_inverse=True)
-            need = least * self.total[key % len(self.ids)] * (1 - 1e-9)
-            heavy = np.bincount(inverse, w[at]) >= need
-            order = np.argsort(inverse, kind="stable")
-            cuts = np.searchsorted(inverse[order], np.arange(len(key) + 1))
-            for g in np.flatnonzero(heavy).tolist():
-                r, i = divmod(int(key[g]), len(self.ids))
-                p = at[order[cuts[g] : cuts[g + 1]]]
-                begin, m = self._windows(p, w[p], int(bounds[r]), int(bounds[r + 1]), int(self.length[i]), k, need[g])
-                best = (0.0, 0)
-                for b in begin.tolist():
-                    best = max(best, (similarity(s[b : b + m], w[b : b + m], self.shingle[i], self.weight[i]), int(bounds[r]) - b))
-                if len(begin) and best[0] >= least:
-                    found.append((r, i, -best[1], best[0]))
+            # items a few at a time, so that what is held is bounded however many share a shingle
+            times = np.cumsum(np.bincount(lo[hit], minlength=len(own) + 1) - np.bincount(hi[hit], minlength=len(own) + 1))[:-1]
+            group = np.cumsum(np.bincount(who, times, len(self.ids))) // MOST_HITS
+            for g in np.unique(group[who[times > 0]]):
+                of = group[who] == g
+                found += self._matched(s, w, hit, own[of], who[of], row, bounds, k, least)
         return sorted(found)
 
+    def _matched(self, s: np.ndarray, w: np.ndarray, hit: np.ndarray, own: np.ndarray, who: np.ndarray, row: np.ndarray, bounds: np.ndarray, k: int, least: float) -> list[tuple[int, int, int, float]]:
+        lo, hi = np.searchsorted(own, s[hit], "left"), np.searchsorted(own, s[hit], "right")
+        count = hi - lo
+        at = np.repeat(hit, count)
+        item = who[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
+        # the union weighs no less than the item, so what is common weighs `least` of the item at least
+        key, inverse = np.unique(row[at].astype(np.int64) * len(self.ids) + item, return_inverse=True)
+        need = least * self.total[key % len(self.ids)] * (1 - 1e-9)
+        heavy = np.bincount(inverse, w[at]) >= need
+        order = np.argsort(inverse, kind="stable")
+        cuts = np.searchsorted(inverse[order], np.arange(len(key) + 1))
+        sums = np.r_[0, np.cumsum(w)]
+        found = []
+        for g in np.flatnonzero(heavy).tolist():
+            r, i = divmod(int(key[g]), len(self.ids))
+            p = at[order[cuts[g] : cuts[g + 1]]]
+            begin, m = self._windows(p, w[p], int(bounds[r]), int(bounds[r + 1]), int(self.length[i]), k, need[g])
+            if not len(begin):
+                continue
+            common = self._common(p, s[p], w[p], begin, m, i)
+            like = common / (sums[begin + m] - sums[begin] + self.total[i] - common)
+            best = int(like.argmax())
+            if like[best] >= least:
+                found.append((r, i, int(begin[best] - bounds[r]), float(like[best])))
+        return found
+
+    def _common(self, p: np.ndarray, s: np.ndarray, w: np.ndarray, begin: np.ndarray, m: int, item: int) -> np.ndarray:
+        """Weight of what windows of m shingles from each begin share with an item, as multisets; p, s, w: places, fingerprints and weights of the shingles that it has.
+
+        A place counts for the windows that hold it but not as many places of the same shingle before it as the item has of it.
+        """
+        names, n = np.unique(self.shingle[item], return_counts=True)
+        which = np.searchsorted(names, s)
+        order = np.argsort(which, kind="stable")
+        q, kind = p[order], which[order]
+        earlier = np.arange(len(q)) - n[kind]
+        same = (earlier >= 0) & (kind[np.maximum(earlier, 0)] == kind)
+        first = np.maximum(q - m + 1, np.where(same, q[np.maximum(earlier, 0)] + 1, -1))
+        w = w[order]
+        i, j = np.argsort(first, kind="stable"), np.argsort(q, kind="stable")
+        up, down = np.r_[0, np.cumsum(w[i])], np.r_[0, np.cumsum(w[j])]
+        return up[np.searchsorted(first[i], begin, "right")] - down[np.searchsorted(q[j], begin, "left")]
+
     @staticmethod
     def _windows(p: np.ndarray, w: np.ndarray, lo: int, hi: int, n: int, k: int, need: float) -> tuple[np.ndarray, int]:
         """Begins of the windows of n words between words lo and hi whose shared shingles, of k words at p, weigh enough, and their number of shingles."""
@@ -191,14 +225,17 @@ class Items:
         return begin[sums[np.searchsorted(p, begin + m)] - sums[np.searchsorted(p, begin)] >= need], m
 
 
-def item_groups(benchmark: DataFrame, size: int = GROUP_ITEMS) -> list[list[tuple[int, str]]]:
-    """The items, one group at a time; null ids and texts left out."""
+def item_groups(benchmark: DataFrame, size: int = GROUP_BYTES) -> list[list[tuple[int, str]]]:
+    """The items, in groups of about `size` bytes; null ids and texts left out."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct().orderBy("item_id", "text").toLocalIterator()
     groups: list[list[tuple[int, str]]] = []
+    held = size
     for r in rows:
-        if not groups or len(groups[-1]) == size:
+        if held >= size:
             groups.append([])
+            held = 0
         groups[-1].append((r.item_id, r.text))
+        held += len(r.text.encode())
     return groups
 
 
