@@ -51,12 +51,19 @@ _FEATURES += [*(f"words-{k}" for k in range(8)), *(f"links-{k}" for k in range(4
 _ID = {f: i for i, f in enumerate(_FEATURES)}
 
 
-def _path_features(path: tuple[tuple[str, str], ...]) -> list[int]:
-    found = {_ID["bias"], _ID.get(f"parent-{path[-1][0]}" if path else "", _ID["parent-other"])}
-    for tag, names in path:
-        found.add(_ID.get(f"in-{tag}", 0))
-        found.update(_ID[k] for w in _WORDS.findall(names) if (k := f"name-{w}") in _ID)
-    return sorted(found)
+def _element_features(tag: str, names: str) -> int:
+    """Features, as bits, that an open element gives to every block in it."""
+    found = 1 << _ID.get(f"in-{tag}", 0)
+    for w in _WORDS.findall(names):
+        if (k := _ID.get(f"name-{w}")) is not None:
+            found |= 1 << k
+    return found
+
+
+def _path_features(tag: str | None, above: int) -> list[int]:
+    """above: bits of all open elements; tag: of the innermost."""
+    found = above | 1 << _ID["bias"] | 1 << _ID.get(f"parent-{tag}", _ID["parent-other"])
+    return [i for i in range(found.bit_length()) if found >> i & 1]
 
 
 def _text_features(text: str, linked: int) -> list[int]:
@@ -80,7 +87,8 @@ def blocks(page: str, cache: dict | None = None) -> tuple[list[str], list[list[i
     cache = {} if cache is None else cache
     texts: list[str] = []
     features: list[list[int]] = []
-    path: list[tuple[str, str]] = []
+    path: list[tuple[str, int]] = []  # each with the bits of all that are open up to it
+    opened: dict[str, int] = {}
     parts: list[str] = []
     link, linked = 0, 0
 
@@ -90,9 +98,9 @@ def blocks(page: str, cache: dict | None = None) -> tuple[list[str], list[list[i
             raw = "".join(parts)
             text = " ".join((_html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                key = tuple(path)
+                key = path[-1] if path else (None, 0)
                 if (own := cache.get(key)) is None:
-                    own = cache[key] = _path_features(key)
+                    own = cache[key] = _path_features(*key)
                 texts.append(text)
                 features.append(own + _text_features(text, linked))
             parts, linked = [], 0
@@ -113,11 +121,13 @@ def blocks(page: str, cache: dict | None = None) -> tuple[list[str], list[list[i
                 link = 0
             if tag in _INLINE:
                 continue
-            for i in range(len(path) - 1, -1, -1):
-                if path[i][0] == tag:
-                    flush()
-                    del path[i:]
-                    break
+            if opened.get(tag):
+                flush()
+                while True:
+                    last_tag, _ = path.pop()
+                    opened[last_tag] -= 1
+                    if last_tag == tag:
+                        break
             continue
         if tag == "a":
             link = 1
@@ -131,12 +141,13 @@ def blocks(page: str, cache: dict | None = None) -> tuple[list[str], list[list[i
         flush()
         link = 0
         if path and (path[-1][0] == tag and tag in _SAME or path[-1][0] == "p" and tag in _CLOSES_P):
-            path.pop()
+            opened[path.pop()[0]] -= 1
         more = m.group(4)
         if more.endswith("/"):
             continue
         names = " ".join(x for g in _ATTRIBUTE.findall(more) for x in g if x).lower() if "=" in more else ""
-        path.append((tag, names))
+        path.append((tag, (path[-1][1] if path else 0) | _element_features(tag, names)))
+        opened[tag] = opened.get(tag, 0) + 1
     if last < len(page):
         parts.append(page[last:])
     flush()
