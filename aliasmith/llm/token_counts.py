@@ -55,6 +55,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str = VOCABULARY, separator
         with system.open_output_stream(name) as out:
             for rows, buf, offs in slices(batches, lower=False):
                 ids, bounds = v.encode(buf, offs)
+                if len(ids) and (ids.max() > np.iinfo(dtype).max or (ids == separator).any()):
+                    raise ValueError("the vocabulary has ids that don't fit the file or the id of the separator")
                 out.write(np.insert(ids.astype(dtype), bounds[1:], np.array(separator, dtype)).tobytes())
                 n = rows.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array(np.arange(done, done + n)), rows.column("doc_id")], ["file", "ordinal", "doc_id"])
