@@ -34,9 +34,11 @@ WORD_REGEX = "[0-9a-z\\x{80}-\\x{10ffff}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one under the warehouse where the session names none."""
+    """The folder that all executors share, spark.checkpoint.dir; where a session on one machine has none, one under the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
