@@ -9,17 +9,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, dequantize, golomb_modulus, natural, norm, quantize
-from .mining import cut
+from .mining import cut, docno_assign
 
 
-def mean_vector(vectors: DataFrame, *keys: str) -> DataFrame:
-    """(keys, vector): mean of each group's vectors."""
-    flat = vectors.select(*keys, F.posexplode("vector").alias("_k", "_x")).groupBy(*keys, "_k").agg(F.avg(F.col("_x").cast("double")).alias("_x"))
-    return flat.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_x"))), lambda p: p["_x"]).alias("vector"))
+def mean_vector(vectors: DataFrame, *keys: str, size: int | None = None) -> DataFrame:
+    """(keys, vector): mean of each group's vectors. One row a vector is summed, and one a group goes to the exchange from each task; size: of the longest vector, else it is looked up."""
+    size = vectors.agg(F.max(F.size("vector"))).first()[0] if size is None else size
+    means = [F.avg(F.get("vector", F.lit(i)).cast("double")) for i in range(max(size or 0, 0))]
+    g = vectors.groupBy(*keys).agg(F.lit(0).alias("_0"), *[m.alias(f"_m{i}") for i, m in enumerate(means)])
+    return g.select(*keys, F.filter(F.array(*[F.col(f"_m{i}") for i in range(len(means))]) if means else F.array().cast("array<double>"), lambda x: x.isNotNull()).alias("vector")).filter(F.size("vector") > 0)
 
 
 def query_centroids(words: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
@@ -113,17 +117,66 @@ def entity_word_centroid(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return _all_pairs(pairs, d.select("entity", "phrase", cosine(F.col("_e"), F.col("vector")).alias("similarity")))
 
 
-def assign_closest(vectors: DataFrame, centres: DataFrame) -> DataFrame:
-    """vectors with the `cluster` whose centre has the greatest cosine, and that as `closeness`; ties to the least cluster. centres: cluster, vector, few enough to be arrays in one row, which their size is checked for."""
-    c = centres.select("cluster", F.col("vector").alias("_c"))
-    d = vectors.crossJoin(F.broadcast(c.agg(F.sort_array(F.collect_list(F.struct("cluster", "_c"))).alias("_cs"))))
-    # one pass over the centres a row, no exchange; a NaN never wins
-    best = F.aggregate("_cs", F.struct(F.lit(-1).alias("cluster"), F.lit(-1.0).alias("closeness")), lambda s, x: F.when(~F.isnan(cosine(F.col("vector"), x["_c"])) & (cosine(F.col("vector"), x["_c"]) > s["closeness"]), F.struct(x["cluster"].cast("int").alias("cluster"), cosine(F.col("vector"), x["_c"]).alias("closeness"))).otherwise(s))
-    return d.withColumn("_b", best).select(*vectors.columns, F.col("_b.cluster").alias("cluster"), F.col("_b.closeness").alias("closeness"))
+#: Bytes of centres that are sent to every task at once.
+CENTRE_BYTES = 32 << 20
+#: Centres that are fetched in one job; more come a part at a time.
+_FEW_CENTRES = 1000
+
+
+def _blocks(centres: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Clusters in order and their unit vectors, in blocks of CENTRE_BYTES; a centre of norm 0 is zeros, one that isn't finite is left out."""
+    c = centres.select("cluster", "vector")
+    few = c.limit(_FEW_CENTRES + 1).collect()
+    rows = iter(sorted(few, key=lambda r: r.cluster)) if len(few) <= _FEW_CENTRES else c.orderBy("cluster").toLocalIterator()
+    ids, unit, held = [], [], 0
+    for r in rows:
+        v = np.array(r.vector, np.float64)
+        if np.isfinite(v).all():
+            ids.append(r.cluster)
+            unit.append(v / (np.linalg.norm(v) or 1.0))
+            held += v.nbytes
+        if held >= CENTRE_BYTES:
+            yield np.array(ids, np.int32), np.stack(unit)
+            ids, unit, held = [], [], 0
+    if ids:
+        yield np.array(ids, np.int32), np.stack(unit)
+
+
+def _closest(d: DataFrame, ids: np.ndarray, unit: np.ndarray) -> DataFrame:
+    """d with the better of its own cluster and closeness and the best of a block of centres."""
+    shared = d.sparkSession.sparkContext.broadcast((ids, unit))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, unit = shared.value
+        for b in batches:
+            v, own = b.column("vector"), pc.fill_null(pc.list_value_length(b.column("vector")), -1).to_numpy(zero_copy_only=False)
+            cluster, best = (b.column(c).to_numpy(zero_copy_only=False).copy() for c in ("cluster", "closeness"))
+            rows = np.flatnonzero(own == unit.shape[1])
+            for i in range(0, len(rows), 4096):
+                at = rows[i : i + 4096]
+                x = v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
+                n = np.linalg.norm(x, axis=1)
+                with np.errstate(invalid="ignore"):
+                    cos = (x / np.where(n == 0, 1, n)[:, None]) @ unit.T
+                cos[np.isnan(cos)] = -np.inf
+                k = cos.argmax(1)
+                top = cos[np.arange(len(at)), k]
+                more = top > best[at]
+                cluster[at[more]], best[at[more]] = ids[k[more]], top[more]
+            yield pa.RecordBatch.from_arrays([pa.array(cluster) if c == "cluster" else pa.array(best) if c == "closeness" else b.column(c) for c in b.schema.names], b.schema.names)
+
+    return d.mapInArrow(run, d.schema)
 
 
-#: Centres beyond so many are joined instead of sent to every task.
-MOST_CENTRES = 20_000
+def assign_closest(vectors: DataFrame, centres: DataFrame) -> DataFrame:
+    """vectors with the `cluster` whose centre has the greatest cosine, and that as `closeness`; ties to the least cluster; -1 for vectors without a number or of another length. centres: cluster, vector.
+
+    Centres go to the tasks in blocks of CENTRE_BYTES, a pass over the vectors each, so that any number of them will do; no exchange.
+    """
+    d = vectors.withColumns({"cluster": F.lit(-1), "closeness": F.lit(-1.0)})
+    for i, (ids, unit) in enumerate(_blocks(centres)):
+        d = _closest(cut(d) if i else d, ids, unit)
+    return d
 
 
 def kmeans_cosine(vectors: DataFrame, k: int, key: str = "word", iterations: int = 100, start: DataFrame | None = None) -> DataFrame:
@@ -132,18 +185,15 @@ def kmeans_cosine(vectors: DataFrame, k: int, key: str = "word", iterations: int
     start: (key, cluster), else the first k vectors by key are one each and the rest is spread by hash of the key.
     An empty cluster has no centre any more and stays empty.
     """
-    if k > MOST_CENTRES:
-        raise ValueError(f"at most {MOST_CENTRES} centres")
     if start is None:
-        first = vectors.select(key).orderBy(key).limit(k).toPandas()[key].tolist()
-        seed = F.coalesce(*[F.when(F.col(key) == F.lit(w), F.lit(i)) for i, w in enumerate(first)], F.pmod(F.xxhash64(key), F.lit(k)).cast("int")) if first else F.lit(0)
-        now = vectors.withColumn("cluster", seed.cast("int"))
+        first = docno_assign(vectors.select(key).orderBy(key).limit(k), key).select(key, (F.col("docno") - 1).cast("int").alias("_first"))
+        now = vectors.join(first, key, "left").withColumn("cluster", F.coalesce("_first", F.pmod(F.xxhash64(key), F.lit(k)).cast("int"))).drop("_first")
     else:
         now = vectors.join(start.select(key, F.col("cluster").cast("int").alias("cluster")), key)
     now = cut(now)
+    size = now.agg(F.max(F.size("vector"))).first()[0]
     for _ in range(iterations):
-        centres = mean_vector(now, "cluster")
-        new = cut(assign_closest(now.withColumnRenamed("cluster", "_old"), centres).drop("closeness"))
+        new = cut(assign_closest(now.withColumnRenamed("cluster", "_old"), mean_vector(now, "cluster", size=size)).drop("closeness"))
         changed = not new.filter("_old <> cluster").isEmpty()
         now = new.drop("_old")
         if not changed:
@@ -199,36 +249,40 @@ def train_entities(descriptions: DataFrame, vectors: DataFrame, rho: int = -1, m
     """(entity, vector): for each entity a regression that tells the vectors of its words from those of others.
 
     descriptions: entity, words (text). Positives are all of the entity's words with a vector, or the first most_words + 1 of them, each as often as it occurs; negatives, rho or as many as
-    positives, are drawn from the vocabulary by a generator of the entity's own, words of the entity excluded. The vocabulary's
-    negatives come from a pool drawn once by hash of the word, in one sample a task holds.
+    positives, are drawn from all other words of the vocabulary alike by a generator of the entity's own; an entity that has every word has none.
+    The vocabulary is numbered, a draw is a number, and one join brings the vectors of both.
     """
-    size = 4096
-    pool = vectors.select("word", "vector").orderBy(F.xxhash64("word"), "word").limit(size).toPandas()
-    pool_words, pool_vectors = pool["word"].tolist(), np.stack(pool["vector"].map(np.asarray)) if len(pool) else np.zeros((0, 1))
-    w = descriptions.select("entity", F.posexplode(F.split("words", r"\s+")).alias("ix", "word")).join(vectors.select("word"), "word")
+    numbers = docno_assign(vectors.select("word"), "word")
+    known = cut(vectors.select("word", "vector").dropDuplicates(["word"]).join(numbers, "word"))
+    size = known.count()
+    w = descriptions.select("entity", F.posexplode(F.split("words", r"\s+")).alias("ix", "word")).join(numbers, "word")
     if most_words is not None:
         w = w.withColumn("_k", F.row_number().over(Window.partitionBy("entity").orderBy("ix"))).filter(F.col("_k") <= most_words + 1)
     # a word that occurs often is one weighted row
-    n = w.groupBy("entity", "word").agg(F.count("*").alias("n")).join(vectors.select("word", "vector"), "word")
-    g = n.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("word", "n", "vector"))).alias("p"))
+    n = w.groupBy("entity", "docno").agg(F.count("*").alias("n"))
+    own = n.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("docno", "n"))).alias("p"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for entity, p in zip(b["entity"], b["p"]):
-                own = {x["word"] for x in p}
-                pos = np.array([x["vector"] for x in p], np.float32)
-                r = np.random.default_rng(abs(hash_of(entity)))
-                free = [i for i, v in enumerate(pool_words) if v not in own]
-                often = np.array([x["n"] for x in p], np.float64)
-                drawn, less = np.unique(r.choice(free, int(often.sum()) if rho < 0 else rho), return_counts=True) if free else (np.zeros(0, np.int64), np.zeros(0))
-                neg = pool_vectors[drawn] if free else np.zeros((0, pos.shape[1]))
-                x = np.concatenate([pos, neg])
-                y = np.r_[np.ones(len(pos)), np.zeros(len(neg))]
-                out.append((entity, fit_logistic(x, y, c, norm_only, most=most, times=np.r_[often, less]).tolist()))
-            yield pd.DataFrame(out, columns=["entity", "vector"])
-
-    return g.mapInPandas(run, "entity string, vector array<float>")
+                ids, often = np.array([x["docno"] for x in p], np.int64), np.array([x["n"] for x in p], np.int64)
+                free = size - len(ids)
+                # of the numbers that are left the u-th: as many higher as the entity has words below
+                u = np.random.default_rng(abs(hash_of(entity))).integers(0, free, int(often.sum()) if rho < 0 else rho) if free else np.zeros(0, np.int64)
+                drawn, less = np.unique(u + 1 + np.searchsorted(ids - 1 - np.arange(len(ids)), u, "right"), return_counts=True)
+                out.append(pd.DataFrame({"entity": entity, "docno": np.r_[ids, drawn], "n": np.r_[often, less].astype(np.int64), "y": np.r_[np.ones(len(ids), np.int32), np.zeros(len(drawn), np.int32)]}))
+            if out:
+                yield pd.concat(out)
+
+    rows = own.mapInPandas(draw, "entity string, docno long, n long, y int").join(known, "docno").select("entity", "docno", "n", "y", "vector")
+
+    def fit(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(["y", "docno"], ascending=[False, True])
+        v = fit_logistic(np.stack([np.asarray(x, np.float32) for x in t["vector"]]), t["y"].to_numpy(float), c, norm_only, most=most, times=t["n"].to_numpy(float))
+        return pd.DataFrame({"entity": [t["entity"].iloc[0]], "vector": [v.tolist()]})
+
+    return rows.groupBy("entity").applyInPandas(fit, "entity string, vector array<float>")
 
 
 def hash_of(s: str) -> int:

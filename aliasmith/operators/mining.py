@@ -47,8 +47,10 @@ def docno_assign(pages: DataFrame, column: str = "page_id") -> DataFrame:
 
 
 def shared_dir(spark) -> str:  # noqa: ANN001
-    """The folder that all executors share; one under the warehouse where the session names none."""
+    """The folder that all executors share, spark.checkpoint.dir; where a session on one machine has none, one under the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
 
 
@@ -101,27 +103,38 @@ def links_resolved(found: DataFrame, pages: DataFrame) -> DataFrame:
     return found.join(titles, "target", "left_semi").select("source", "target", "anchor")
 
 
-def redirect_closure(found: DataFrame, most: int = 64) -> DataFrame:
-    """(source, target) with redirects followed to their end, by doubling: round k has followed 2^k steps.
+def _ends(edges: DataFrame) -> DataFrame:
+    """(source, target) of edges with one target a source, followed to their ends by doubling: after k rounds 2^k steps, so that their number is the logarithm of the longest chain. Chains that end in a circle stop at some page of it."""
+    walk, steps, many = edges, 1, edges.count()
+    while steps <= many:
+        next_ = walk.select(F.col("source").alias("target"), F.col("target").alias("_next"))
+        further = cut(walk.join(next_, "target", "left").select("source", F.coalesce("_next", "target").alias("target"), F.col("_next").isNotNull().alias("_open")))
+        if further.filter("_open").isEmpty():
+            break
+        walk, steps = further.select("source", "target"), 2 * steps
+    return walk
+
+
+def redirect_closure(found: DataFrame) -> DataFrame:
+    """(source, target) with redirects followed to their end, however long the chain.
 
     A chain that comes back to itself ends where the next step would meet a page already seen: from a page
     of the cycle at the page itself, from outside it at the page before the one where it enters twice.
     Of several targets of a source the least counts.
     """
     edges = cut(found.groupBy("source").agg(F.min("target").alias("target")).filter("source <> target"))
-    # walks of one step and their whole trail: cycles are rare and trails short
-    walk = edges.select("source", F.array("source", "target").alias("trail"))
-    done = None
-    for _ in range(most):
-        step = walk.join(edges.select(F.col("source").alias("_at"), F.col("target").alias("_to")), F.element_at("trail", -1) == F.col("_at"), "left")
-        step = step.withColumn("_end", F.col("_to").isNull() | F.array_contains("trail", F.col("_to")))
-        step = cut(step.select("source", "_end", F.when(F.col("_end"), F.when(F.col("_to") == F.col("source"), F.array("source")).otherwise(F.col("trail"))).otherwise(F.concat("trail", F.array("_to"))).alias("trail")))
-        ended = step.filter("_end").select("source", F.element_at("trail", -1).alias("target"))
-        done = ended if done is None else done.unionByName(ended)
-        walk = step.filter("not _end").select("source", "trail")
-        if walk.isEmpty():
-            return done
-    return done.unionByName(walk.select("source", F.element_at("trail", -1).alias("target")))
+    walk = _ends(edges)
+    sources = edges.select(F.col("source").alias("target"))
+    circle = cut(walk.join(sources, "target", "left_semi").select("target").distinct())
+    if circle.isEmpty():
+        return walk
+    on = circle.select(F.col("target").alias("source"))
+    ended = walk.join(sources, "target", "left_anti").select("source", "target")
+    # chains into a circle end where they enter it, and that has one page before it on the circle
+    enter = _ends(edges.join(on, "source", "left_anti")).join(circle, "target", "left_semi")
+    before = edges.join(on, "source", "left_semi").select("target", F.col("source").alias("_before"))
+    outside = enter.join(before, "target").select("source", F.col("_before").alias("target"))
+    return ended.unionByName(outside).unionByName(on.select("source", F.col("source").alias("target")))
 
 
 def follow_redirects(found: DataFrame, closed: DataFrame) -> DataFrame:
@@ -159,8 +172,8 @@ def alias_corpus_freq(pages: DataFrame, found: DataFrame, longest: int | None =
     vocabulary = found.select(F.col("anchor").alias("alias")).distinct()
     if longest is None:
         longest = min(LONGEST_NGRAM, vocabulary.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1)
-    # each partition's runs are counted before the exchange
-    grams = content_ngrams(pages, longest).groupBy("alias").agg(F.count("*").alias("n")).join(vocabulary, "alias", "left_semi")
+    # runs that are no anchor go before anything is counted; the vocabulary is broadcast while its size allows it
+    grams = content_ngrams(pages, longest).join(vocabulary, "alias", "left_semi").groupBy("alias").agg(F.count("*").alias("n"))
     anchors = found.groupBy(F.col("anchor").alias("alias")).agg(F.count("*").alias("n"))
     return grams.unionByName(anchors).groupBy("alias").agg(F.sum("n").alias("cf"))
 

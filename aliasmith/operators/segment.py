@@ -42,7 +42,7 @@ def longest_alias(aliases: DataFrame) -> int:
 
 
 def _key(end, start):  # noqa: ANN001, ANN202
-    return (end * F.lit(1 << 20) + start).cast("int")
+    return end.cast("bigint") * F.lit(1 << 32) + start
 
 
 def gathered(words: DataFrame, matches: DataFrame) -> DataFrame:
@@ -54,8 +54,8 @@ def gathered(words: DataFrame, matches: DataFrame) -> DataFrame:
 def _fold(textbook: bool) -> str:
     nil = NIL_SCORE
     before = "if(j > 0, get(s.acc, j - 1), 0D)" if textbook else "if(j < i, get(s.acc, j), t.acc)"
-    score = f"coalesce(try_element_at(m, i * 1048576 + j).score, {nil}D)"
-    at = f"coalesce(try_element_at(m, i * 1048576 + j).entity_id, -1)"
+    score = f"coalesce(try_element_at(m, cast(i as bigint) * 4294967296 + j).score, {nil}D)"
+    at = f"coalesce(try_element_at(m, cast(i as bigint) * 4294967296 + j).entity_id, -1)"
     # NaN loses every comparison
     step = f"if(not isnan({score}) and {score} + {before} > t.{'best' if textbook else 'cur'}, named_struct('acc', {score} + {before}, 'cur', {score}, 'prev', j, 'id', {at}, 'best', {score} + {before}), t)"
     first = f"named_struct('acc', {'-1.0E300D' if textbook else '0D'}, 'cur', {nil}D, 'prev', i, 'id', -1, 'best', -1.0E300D)"
@@ -65,8 +65,8 @@ def _fold(textbook: bool) -> str:
     return f"aggregate(sequence(0, size(words) - 1), {start}, {grow}, s -> s.seg)"
 
 
-def segment(words: DataFrame, matches: DataFrame, textbook: bool = False) -> DataFrame:
-    """(query_id, start, end, entity_id, score): segments of each query; without a link, entity_id -1 and score -100.
+def segment(words: DataFrame, matches: DataFrame, textbook: bool = False, aliases: bool = False) -> DataFrame:
+    """(query_id, start, end, entity_id, score): segments of each query; without a link, entity_id -1 and score -100. aliases: with the words of the segment as alias.
 
     The recurrence adds to a span's score the total of its own first position, not of the one
     before it, and compares the sum with the best span's score alone: position i takes span [j, i]
@@ -74,8 +74,8 @@ def segment(words: DataFrame, matches: DataFrame, textbook: bool = False) -> Dat
     earliest start wins ties, a position that accepts nothing keeps total 0, and scores in the
     result are those of the spans. textbook: total of the position before, compared with totals.
     """
-    d = gathered(words.filter(F.size("words") > 0), matches).withColumn("m", F.coalesce("m", F.expr("map_from_entries(cast(array() as array<struct<k:int,v:struct<entity_id:int,score:double>>>))")))
-    d = d.select("query_id", F.expr(_fold(textbook)).alias("seg"))
+    d = gathered(words.filter(F.size("words") > 0), matches).withColumn("m", F.coalesce("m", F.expr("map_from_entries(cast(array() as array<struct<k:bigint,v:struct<entity_id:int,score:double>>>))")))
+    d = d.select("query_id", "words", F.expr(_fold(textbook)).alias("seg"))
     back = f"""
     aggregate(
       reverse(sequence(0, size(seg) - 1)),
@@ -83,7 +83,11 @@ def segment(words: DataFrame, matches: DataFrame, textbook: bool = False) -> Dat
       (s, i) -> if(i = s.at, named_struct('at', seg[i].prev - 1, 'out', concat(s.out, array(named_struct('start', seg[i].prev, 'end', i, 'entity_id', seg[i].id, 'score', seg[i].cur)))), s),
       s -> s.out
     )"""
-    return d.select("query_id", F.explode(F.expr(back)).alias("s")).select("query_id", "s.*")
+    if not aliases:
+        return d.select("query_id", F.explode(F.expr(back)).alias("s")).select("query_id", "s.*")
+    # the words come along: no second join with the queries
+    d = d.select("query_id", "words", F.explode(F.expr(back)).alias("s")).select("query_id", "words", "s.*")
+    return d.select("query_id", "start", "end", "entity_id", "score", text.chunk(F.col("words"), F.col("start"), F.col("end")).alias("alias"))
 
 
 def _by_maximum(words: list[str], score: dict[tuple[int, int], tuple[int, float]]) -> list[tuple[int, int, int, float]]:

@@ -22,6 +22,11 @@ def best_entities(candidates: DataFrame, ranker: Column | None = None, stats: Da
     return rank.top1(rows, ["alias"], "type")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written once, as it is read several times; a stream stays as it is."""
+    return df if df.isStreaming else mining.cut(df)
+
+
 def matches(words: DataFrame, aliases: DataFrame, longest: int | None = None) -> DataFrame:
     """Spans of the queries that are aliases, with all columns of the alias table."""
     return segment.spans(words, segment.longest_alias(aliases) if longest is None else longest).join(aliases, "alias")
@@ -29,22 +34,21 @@ def matches(words: DataFrame, aliases: DataFrame, longest: int | None = None) ->
 
 def link(queries: DataFrame, best: DataFrame, threshold: float, textbook: bool = False, longest: int | None = None) -> DataFrame:
     """(query_id, rank, alias, start, end, entity_id, score): entities of (query_id, text) whose segment scores above the threshold."""
-    words = segment.tokenized(queries)
-    segs = segment.segment(words, matches(words, best, longest), textbook)
-    d = rank.results(segs, threshold).join(words, "query_id")
-    return d.select("query_id", "rank", text.chunk(F.col("words"), F.col("start"), F.col("end")).alias("alias"), "start", "end", "entity_id", "score")
+    words, best = written(segment.tokenized(queries)), written(best)
+    segs = segment.segment(words, matches(words, best, longest), textbook, aliases=True)
+    return rank.results(segs, threshold).select("query_id", "rank", "alias", "start", "end", "entity_id", "score")
 
 
 def link_max(queries: DataFrame, best: DataFrame, threshold: float) -> DataFrame:
     """link by the greatest segment score, without tokens that only name a site."""
-    words = segment.tokenized(queries, text.SITE_STOPWORDS)
+    words, best = written(segment.tokenized(queries, text.SITE_STOPWORDS)), written(best)
     return rank.results(segment.segment_max(words, matches(words, best)), threshold)
 
 
 def all_candidates(queries: DataFrame, candidates: DataFrame, k: int, ranker: Column | None = None) -> DataFrame:
     """(query_id, start, end, alias, entity_id, ix, score, rank): the best k entities of every span that is an alias. Ranked once an alias, not once a span."""
     rows = rank.scored(candidates, store.global_stats(candidates), scoring.probability() if ranker is None else ranker)
-    top = rank.topk(rows, ["alias"], k).select("alias", "entity_id", "type", "ix", "score", "rank")
+    top = written(rank.topk(rows, ["alias"], k).select("alias", "entity_id", "type", "ix", "score", "rank"))
     return matches(segment.tokenized(queries), top)
 
 
@@ -58,11 +62,11 @@ def link_contextual(queries: DataFrame, candidates: DataFrame, context, threshol
 
     context(pairs, words) gives (query_id, entity_id, context) of the pairs.
     """
-    words = segment.tokenized(queries)
+    words = written(segment.tokenized(queries))
     rows = rank.scored(candidates, store.global_stats(candidates), scoring.contextual_prior()).withColumnRenamed("score", "prior")
     # the prior doesn't depend on the query: candidates are cut before they meet the spans
-    kept = rank.survivors(rows, ["alias"], survivors).select("alias", "entity_id", "type", "ix", "prior")
-    met = matches(words, kept)
+    kept = written(rank.survivors(rows, ["alias"], survivors).select("alias", "entity_id", "type", "ix", "prior"))
+    met = written(matches(words, kept))
     scores = context(met.select("query_id", "entity_id").distinct(), words)
     met = met.join(scores, ["query_id", "entity_id"])
     met = met.withColumn("score", scoring.contextual(F.col("end") - F.col("start"), F.col("context"), F.col("prior")))

@@ -185,22 +185,22 @@ QUERIES = {
 }
 
 _SCORED = f"{CANDIDATES}, scored AS (SELECT cand.*, {R1} AS score FROM cand CROSS JOIN stats), best AS (SELECT alias, entity_id, type, score FROM (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY score DESC, ix) AS k FROM scored) WHERE k = 1)"
-_SPANS = f"{QUERY_TEXTS}, {TOKENS}, i AS (SELECT query_id, w, unnest(range(1, len(w) + 1)) AS i FROM tok), longest AS (SELECT max(len(string_split(alias, ' '))) AS n FROM cand), j AS (SELECT query_id, w, i, unnest(range(i, least(len(w), i + (SELECT n FROM longest) - 1) + 1)) AS j FROM i), spans AS (SELECT query_id, (i - 1)::INT AS s, (j - 1)::INT AS e, array_to_string(w[i:j], ' ') AS alias FROM j), met AS (SELECT query_id, s, e, alias, entity_id, score FROM spans JOIN best USING (alias))"
+_SPANS = f"{QUERY_TEXTS}, {TOKENS}, i AS (SELECT query_id, w, unnest(range(1, len(w) + 1)) AS i FROM tok), longest AS (SELECT max(len(string_split(alias, ' '))) AS n FROM cand), j AS (SELECT query_id, w, i, unnest(range(i, least(len(w), i + (SELECT n FROM longest) - 1) + 1)) AS j FROM i), spans AS (SELECT query_id, (i - 1)::INT AS s, (j - 1)::INT AS e, array_to_string(w[i:j], ' ') AS alias FROM j), met AS MATERIALIZED (SELECT query_id, s, e, alias, entity_id, score FROM spans JOIN best USING (alias))"
 
 
 def _dp(textbook: bool) -> str:
-    """The recurrence one (i, j) a step; acc and segs hold the positions that are done."""
-    before = "CASE WHEN d.j > 0 THEN d.acc[d.j] ELSE 0 END" if textbook else "CASE WHEN d.j < d.i THEN d.acc[d.j + 1] ELSE d.a END"
-    start_a, start_best = ("-1e300::DOUBLE", "-1e300::DOUBLE") if textbook else ("0::DOUBLE", "-100::DOUBLE")
-    against = "d.b" if textbook else "d.c"
-    return f"""dp AS (
-  SELECT query_id, len(w)::INT AS n, 0 AS i, 0 AS j, {start_a} AS a, -100::DOUBLE AS c, {start_best} AS b, 0 AS p, -1 AS e, []::DOUBLE[] AS acc, []::STRUCT(p INT, e INT, c DOUBLE)[] AS segs FROM tok
+    """The recurrence one end i a step: the fold over its begins j is a reduction of a list; acc and segs hold the ends that are done."""
+    before = "CASE WHEN x > 0 THEN d.acc[x] ELSE 0 END" if textbook else "CASE WHEN x < d.i THEN d.acc[x + 1] ELSE t.a END"
+    start = "{'a': -1e300::DOUBLE, 'c': -100::DOUBLE, 'b': -1e300::DOUBLE, 'p': d.i, 'e': -1}" if textbook else "{'a': 0::DOUBLE, 'c': -100::DOUBLE, 'b': -1e300::DOUBLE, 'p': d.i, 'e': -1}"
+    score, against = "coalesce(d.s[x + 1], -100)", "t.b" if textbook else "t.c"
+    step = f"CASE WHEN {score} + {before} > {against} THEN {{'a': {score} + {before}, 'c': {score}, 'b': {score} + {before}, 'p': x, 'e': coalesce(d.k[x + 1], -1)}} ELSE t END"
+    return f"""ij AS (SELECT query_id, i, unnest(range(i + 1))::INT AS j FROM (SELECT query_id, unnest(range(len(w)))::INT AS i FROM tok)
+), ends AS MATERIALIZED (SELECT ij.query_id, i, list(score ORDER BY j) AS s, list(entity_id ORDER BY j) AS k FROM ij LEFT JOIN met ON met.query_id = ij.query_id AND met.s = j AND met.e = i GROUP BY ALL
+), dp AS (
+  SELECT query_id, len(w)::INT AS n, 0 AS i, []::DOUBLE[] AS acc, []::STRUCT(p INT, e INT, c DOUBLE)[] AS segs FROM tok
   UNION ALL
-  SELECT query_id, n, CASE WHEN j = i THEN i + 1 ELSE i END, CASE WHEN j = i THEN 0 ELSE j + 1 END,
-    CASE WHEN j = i THEN {start_a} ELSE na END, CASE WHEN j = i THEN -100::DOUBLE ELSE nc END, CASE WHEN j = i THEN {start_best} ELSE nb END, CASE WHEN j = i THEN i + 1 ELSE np END, CASE WHEN j = i THEN -1 ELSE ne END,
-    CASE WHEN j = i THEN list_append(acc, na) ELSE acc END, CASE WHEN j = i THEN list_append(segs, {{'p': np, 'e': ne, 'c': nc}}) ELSE segs END
-  FROM (SELECT *, CASE WHEN ok THEN sc + bef ELSE a END AS na, CASE WHEN ok THEN sc ELSE c END AS nc, CASE WHEN ok THEN sc + bef ELSE b END AS nb, CASE WHEN ok THEN j ELSE p END AS np, CASE WHEN ok THEN ent ELSE e END AS ne FROM (
-    SELECT d.*, coalesce(m.score, -100) AS sc, coalesce(m.entity_id, -1) AS ent, {before} AS bef, coalesce(m.score, -100) + {before} > {against} AS ok FROM dp d LEFT JOIN met m ON m.query_id = d.query_id AND m.s = d.j AND m.e = d.i WHERE d.i < d.n))
+  SELECT query_id, n, i + 1, list_append(acc, r.a), list_append(segs, {{'p': r.p, 'e': r.e, 'c': r.c}})
+  FROM (SELECT d.query_id, d.n, d.i, d.acc, d.segs, list_reduce(range(d.i + 1)::INT[], lambda t, x: {step}, {start}) AS r FROM (SELECT dp.*, ends.s, ends.k FROM dp JOIN ends ON ends.query_id = dp.query_id AND ends.i = dp.i) d)
 ), full_ AS (SELECT query_id, n, segs FROM dp WHERE i = n),
 back AS (
   SELECT query_id, segs, n AS i, NULL::INT AS first, NULL::INT AS last, NULL::INT AS entity_id, NULL::DOUBLE AS score FROM full_
