@@ -7,6 +7,7 @@ joins over all documents at once; the recurrence of each document is a small den
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.numeric import ln
 from .embedding import entity_similarity, entity_word_mean
+from .mining import cut
 
 LAMBDA, SLOTS, FLOOR = 0.5, 10, -10000.0
 
@@ -25,22 +27,23 @@ def _underscored(c: Column) -> Column:
 
 
 def local_scores(mentions: DataFrame, vectors: DataFrame, weight: float = LAMBDA) -> DataFrame:
-    """mentions with `local`: log of the mixture of entity-word and lexical similarity. Vectors of entities are under _wiki_ and their name."""
-    m = mentions.withColumn("_e", text.prepend_wiki(F.col("entity"))).withColumn("_m", _underscored(F.col("surface")))
-    sim = entity_word_mean(m.select(F.col("_e").alias("entity"), F.col("_m").alias("phrase")), vectors).select(F.col("entity").alias("_e"), F.col("phrase").alias("_m"), "similarity")
+    """mentions with `local`: log of the mixture of entity-word and lexical similarity, each computed once for an entity and a surface. Vectors of entities are under _wiki_ and their name."""
+    pairs = mentions.select("entity", "surface").distinct().withColumn("_e", text.prepend_wiki(F.col("entity"))).withColumn("_m", _underscored(F.col("surface")))
+    sim = entity_word_mean(pairs.select(F.col("_e").alias("entity"), F.col("_m").alias("phrase")), vectors).select(F.col("entity").alias("_e"), F.col("phrase").alias("_m"), "similarity")
     lex = text.lexical_similarity(_underscored(F.col("entity")), F.col("_m"))
-    return m.join(sim, ["_e", "_m"]).withColumn("local", ln((1 - weight) * F.col("similarity") + weight * lex)).drop("_e", "_m", "similarity")
+    scores = cut(pairs.join(sim, ["_e", "_m"]).select("entity", "surface", ln((1 - weight) * F.col("similarity") + weight * lex).alias("local")))
+    return mentions.join(scores, ["entity", "surface"])
 
 
 def pair_scores(mentions: DataFrame, vectors: DataFrame, weight: float = LAMBDA) -> DataFrame:
-    """(doc_id, pos, p, c, pair): of candidates p of mention pos - 1 and c of mention pos."""
+    """(doc_id, pos, p, c, pair): of candidates p of mention pos - 1 and c of mention pos. Similarities are computed once for two entities."""
     a = mentions.select("doc_id", (F.col("pos") + 1).alias("pos"), F.col("k").alias("p"), F.col("entity").alias("before"))
     d = a.join(mentions.select("doc_id", "pos", F.col("k").alias("c"), F.col("entity").alias("here")), ["doc_id", "pos"])
-    pairs = d.select(text.prepend_wiki(F.col("before")).alias("a"), text.prepend_wiki(F.col("here")).alias("b")).distinct()
-    sim = entity_similarity(pairs, vectors)
+    pairs = d.select("before", "here").distinct().withColumn("a", text.prepend_wiki(F.col("before"))).withColumn("b", text.prepend_wiki(F.col("here")))
+    sim = entity_similarity(pairs.select("a", "b"), vectors)
     lex = text.lexical_similarity(_underscored(F.col("before")), _underscored(F.col("here")))
-    d = d.withColumn("a", text.prepend_wiki(F.col("before"))).withColumn("b", text.prepend_wiki(F.col("here"))).join(sim, ["a", "b"])
-    return d.select("doc_id", "pos", "p", "c", ln((1 - weight) * F.col("similarity") + weight * lex).alias("pair"))
+    scores = cut(pairs.join(sim, ["a", "b"]).select("before", "here", ln((1 - weight) * F.col("similarity") + weight * lex).alias("pair")))
+    return d.join(scores, ["before", "here"]).select("doc_id", "pos", "p", "c", "pair")
 
 
 def dense_path(sizes: list[int], local: list[list[float]], pair: list[dict], floor: float = FLOOR) -> tuple[np.ndarray, list[list[list[int]]]]:
@@ -74,50 +77,53 @@ def argmax(x: np.ndarray) -> int:
     return int(ok.argmax())
 
 
-def _document(m: pd.DataFrame, pairs: pd.DataFrame) -> tuple[list, list, list, list]:
-    order = sorted(m["pos"].unique())
-    groups = [m[m["pos"] == p].sort_values("k") for p in order]
-    sizes = [len(g) for g in groups]
-    local = [g["local"].tolist() for g in groups]
-    names = [g["entity"].tolist() for g in groups]
-    at = {p: i for i, p in enumerate(order)}
+def _document(pos: np.ndarray, name: list[str], local: list[float], at: np.ndarray, p: np.ndarray, c: np.ndarray, value: np.ndarray, direction: str) -> tuple[list[int], list[str], list[float]]:
+    """Positions, entities and scores of one document; candidates in order of pos and k."""
+    order, first = np.unique(pos, return_index=True)
+    cuts = [*first.tolist(), len(pos)]
+    names = [name[x:y] for x, y in zip(cuts, cuts[1:])]
+    locals_ = [local[x:y] for x, y in zip(cuts, cuts[1:])]
+    sizes = [len(x) for x in names]
+    n = len(order)
     pair: list[dict] = [{} for _ in order]
-    for pos, p, c, v in pairs[["pos", "p", "c", "pair"]].itertuples(index=False):
-        pair[at[pos]][p, c] = v
-    return order, sizes, [names, local], pair
+    for i, q, k, v in zip(np.searchsorted(order, at).tolist(), p.tolist(), c.tolist(), value.tolist()):
+        pair[i][q, k] = v
+    forward = dense_path(sizes, locals_, pair) if direction != "backward" else None
+    backward = None
+    if direction != "forward":
+        flipped = [{}, *({(k, q): v for (q, k), v in pair[i].items()} for i in range(n - 1, 0, -1))]
+        backward = dense_path(sizes[::-1], locals_[::-1], flipped)
+    if direction == "merged":
+        both = forward[0] + backward[0][::-1]
+        picks = [argmax(both[i][: min(sizes[i], SLOTS)]) for i in range(n)]
+        scores = [float(both[i][k]) for i, k in enumerate(picks)]
+    else:
+        score, paths = forward if direction == "forward" else backward
+        last = argmax(score[-1])
+        picks = paths[-1][last] or [0] * n
+        picks = picks if direction == "forward" else picks[::-1]
+        scores = [float(score[-1, last])] * n
+    return order.tolist(), [names[i][k] for i, k in enumerate(picks)], scores
 
 
 def choose(mentions: DataFrame, pairs: DataFrame, direction: str = "forward") -> DataFrame:
     """(doc_id, pos, entity, score): the best path of each document, score that of the path.
 
     mentions: doc_id, pos, k, entity, local, positions of a document consecutive; pairs: as pair_scores. direction: forward, backward, or merged, which
-    adds the scores of both and takes the best of each mention.
+    adds the scores of both and takes the best of each mention. A document is one row of arrays, and Python sees many at a time.
     """
     key = mentions.schema["doc_id"].dataType.simpleString()
-
-    def run(m: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if not len(m):
-            return pd.DataFrame(columns=["doc_id", "pos", "entity", "score"])
-        order, sizes, (names, local), pair = _document(m, p)
-        n = len(order)
-        flipped = [{} for _ in order]
-        for i in range(1, n):
-            flipped[n - i] = {(c, q): v for (q, c), v in pair[i].items()}
-        forward = dense_path(sizes, local, pair)
-        backward = dense_path(sizes[::-1], local[::-1], flipped)
-        if direction == "merged":
-            both = forward[0] + backward[0][::-1]
-            picks = [argmax(both[i][: min(sizes[i], SLOTS)]) for i in range(n)]
-            scores = [float(both[i][k]) for i, k in enumerate(picks)]
-        else:
-            score, paths = forward if direction == "forward" else backward
-            last = argmax(score[-1])
-            picks = paths[-1][last] or [0] * n
-            picks = picks if direction == "forward" else picks[::-1]
-            scores = [float(score[-1, last])] * n
-        return pd.DataFrame({"doc_id": m["doc_id"].iloc[0], "pos": order, "entity": [names[i][k] for i, k in enumerate(picks)], "score": scores})
-
-    m = mentions.select("doc_id", "pos", "k", "entity", "local")
-    # new columns, as both sides may come from the same table
-    p = pairs.select(*[F.col(k).alias(k) for k in ("doc_id", "pos", "p", "c", "pair")])
-    return m.groupBy("doc_id").cogroup(p.groupBy("doc_id")).applyInPandas(run, f"doc_id {key}, pos int, entity string, score double")
+    fields = lambda s, *names: [F.col(f"{s}.{x}").alias(f"{s}_{x}") for x in names]
+    m = mentions.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "k", "entity", "local"))).alias("m")).select("doc_id", *fields("m", "pos", "entity", "local"))
+    p = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "p", "c", "pair")).alias("x")).select("doc_id", *fields("x", "pos", "p", "c", "pair"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: list[tuple] = []
+            for r in b.itertuples(index=False):
+                x = [np.zeros(0, np.int64) if v is None else np.asarray(v) for v in (r.x_pos, r.x_p, r.x_c, r.x_pair)]
+                local = np.array([np.nan if v is None else v for v in r.m_local], float).tolist()
+                out += [(r.doc_id, *y) for y in zip(*_document(np.asarray(r.m_pos), list(r.m_entity), local, *x, direction))]
+            yield pd.DataFrame(out, columns=["doc_id", "pos", "entity", "score"])
+
+    return m.join(p, "doc_id", "left").mapInPandas(run, f"doc_id {key}, pos int, entity string, score double")

@@ -30,10 +30,17 @@ def bag_of_words(words: DataFrame, vectors: DataFrame) -> DataFrame:
     return w.join(vectors.select("word", "vector"), "word")
 
 
-def centroids(bag: DataFrame) -> DataFrame:
-    """(query_id, centroid): the sum of the words' vectors by their counts, as one array."""
-    flat = bag.select("query_id", "n", F.posexplode("vector").alias("k", "x")).groupBy("query_id", "k").agg(F.sum(F.col("n") * F.col("x").cast("double")).alias("x"))
-    return flat.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("centroid"))
+def centroids(bag: DataFrame, size: int | None = None) -> DataFrame:
+    """(query_id, centroid): the sum of the words' vectors by their counts, as one array. A query is one row from each task; size: of the longest vector, else it is looked up."""
+    size = bag.agg(F.max(F.size("vector"))).first()[0] if size is None else size
+    sums = [F.sum(F.col("n") * F.get("vector", F.lit(i)).cast("double")).alias(f"_s{i}") for i in range(max(size or 0, 0))]
+    g = bag.groupBy("query_id").agg(F.lit(0).alias("_0"), *sums)
+    whole = F.filter(F.array(*[F.col(f"_s{i}") for i in range(len(sums))]) if sums else F.array().cast("array<double>"), lambda x: x.isNotNull())
+    return g.select("query_id", whole.alias("centroid")).filter(F.size("centroid") > 0)
+
+
+def _size(vectors: DataFrame) -> int | None:
+    return vectors.agg(F.max(F.size("vector"))).first()[0]
 
 
 def _with_entities(pairs: DataFrame, entities: DataFrame) -> DataFrame:
@@ -42,7 +49,7 @@ def _with_entities(pairs: DataFrame, entities: DataFrame) -> DataFrame:
 
 def centroid_score(pairs: DataFrame, bag: DataFrame, entities: DataFrame) -> DataFrame:
     """Entity vector times the centroid, over the centroid's norm; NaN if that is 0."""
-    d = _with_entities(pairs, entities).join(centroids(bag), "query_id", "left")
+    d = _with_entities(pairs, entities).join(centroids(bag, _size(entities)), "query_id", "left")
     n = norm(F.col("centroid"))
     score = F.when(n == 0, F.lit(float("nan"))).otherwise(F.try_divide(inner(F.col("entity_vector"), F.col("centroid")), n))
     return d.select("query_id", "entity_id", F.coalesce(score, F.lit(NO_CONTEXT)).alias("context"))
@@ -73,7 +80,7 @@ def query_normalizer(bag: DataFrame) -> DataFrame:
 def cosine_score(pairs: DataFrame, words: DataFrame, vectors: DataFrame, entities: DataFrame) -> DataFrame:
     """Cosine of the entity's vector and the mean of the words' vectors, stop words left out; 0 where either is missing."""
     w = words.select("query_id", F.explode("words").alias("word")).filter(~F.col("word").isin(*text.CENTROID_STOPWORDS)).groupBy("query_id", "word").agg(F.count("*").alias("n"))
-    d = _with_entities(pairs, entities).join(centroids(w.join(vectors.select("word", "vector"), "word")), "query_id", "left")
+    d = _with_entities(pairs, entities).join(centroids(w.join(vectors.select("word", "vector"), "word"), _size(vectors)), "query_id", "left")
     return d.select("query_id", "entity_id", F.coalesce(cosine(F.col("entity_vector"), F.col("centroid")), F.lit(0.0)).alias("context"))
 
 

@@ -61,6 +61,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many parts as there are cores at least, for sources of few large parts."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def repack(pages: DataFrame, docnos: DataFrame) -> DataFrame:
     """Pages that have a number, with it."""
     return pages.join(docnos, "page_id")
@@ -162,9 +168,12 @@ def content_ngrams(pages: DataFrame, longest: int = LONGEST_NGRAM) -> DataFrame:
     """Column alias: runs of up to `longest` tokens of the folded content; the first and the last token take no part, as a run lies between two spaces."""
     w = F.split(text.fold(text.plain_text(F.col("text"))), " ")
     inner = pages.select(F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))).alias("w")).filter(F.size("w") > 0)
-    at = inner.select("w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
-    last = F.least(F.size("w") - 1, F.col("i") + longest - 1)
-    return at.select(F.explode(F.transform(F.sequence(F.col("i"), last), lambda j: F.array_join(F.slice("w", F.col("i") + 1, j - F.col("i") + 1), " "))).alias("alias"))
+    if longest == 1:
+        return inner.select(F.explode("w").alias("alias"))
+    # runs of one length at a time, inside the array: no row carries the words of its page along
+    of_length = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
+    runs = F.transform(F.sequence(F.lit(1), F.least(F.size("w"), F.lit(longest))), of_length)
+    return inner.select(F.explode(F.flatten(runs)).alias("alias"))
 
 
 def alias_corpus_freq(pages: DataFrame, found: DataFrame, longest: int | None = None) -> DataFrame:

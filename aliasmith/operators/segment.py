@@ -47,7 +47,7 @@ def _key(end, start):  # noqa: ANN001, ANN202
 
 def gathered(words: DataFrame, matches: DataFrame) -> DataFrame:
     """(query_id, words, m): the matches (query_id, start, end, entity_id, score) of each query as a map by span."""
-    m = matches.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct(_key(F.col("end"), F.col("start")).alias("k"), F.struct("entity_id", "score").alias("v")))).alias("m"))
+    m = matches.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct(_key(F.col("end"), F.col("start")).alias("k"), F.struct("entity_id", "score").alias("v")))).alias("m"), F.sort_array(F.collect_list(F.struct("end", "start"))).alias("places"), (F.max("score") > 0).alias("above"))
     return words.join(m, "query_id", "left")
 
 
@@ -59,7 +59,10 @@ def _fold(textbook: bool) -> str:
     # NaN loses every comparison
     step = f"if(not isnan({score}) and {score} + {before} > t.{'best' if textbook else 'cur'}, named_struct('acc', {score} + {before}, 'cur', {score}, 'prev', j, 'id', {at}, 'best', {score} + {before}), t)"
     first = f"named_struct('acc', {'-1.0E300D' if textbook else '0D'}, 'cur', {nil}D, 'prev', i, 'id', -1, 'best', -1.0E300D)"
-    inner = f"aggregate(sequence(0, i), {first}, (t, j) -> {step})"
+    # a span without a link is taken only after a total above 0, which needs a score above 0; else the begins of matches that end here will do
+    every = "sequence(0, i)"
+    begins = every if textbook else f"if(above, {every}, transform(filter(places, x -> x.end = i), x -> x.start))"
+    inner = f"aggregate({begins}, {first}, (t, j) -> {step})"
     grow = f"(s, i) -> aggregate(array({inner}), s, (u, x) -> named_struct('acc', concat(u.acc, array(x.acc)), 'seg', concat(u.seg, array(named_struct('prev', x.prev, 'id', x.id, 'cur', x.cur)))))"
     start = "named_struct('acc', cast(array() as array<double>), 'seg', cast(array() as array<struct<prev:int,id:int,cur:double>>))"
     return f"aggregate(sequence(0, size(words) - 1), {start}, {grow}, s -> s.seg)"
@@ -75,6 +78,7 @@ def segment(words: DataFrame, matches: DataFrame, textbook: bool = False, aliase
     result are those of the spans. textbook: total of the position before, compared with totals.
     """
     d = gathered(words.filter(F.size("words") > 0), matches).withColumn("m", F.coalesce("m", F.expr("map_from_entries(cast(array() as array<struct<k:bigint,v:struct<entity_id:int,score:double>>>))")))
+    d = d.withColumns({"places": F.coalesce("places", F.expr("cast(array() as array<struct<end:int,start:int>>)")), "above": F.coalesce("above", F.lit(False))})
     d = d.select("query_id", "words", F.expr(_fold(textbook)).alias("seg"))
     back = f"""
     aggregate(

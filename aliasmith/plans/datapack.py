@@ -10,7 +10,7 @@ from ..operators import aggregate, mining
 def mine(pages: DataFrame) -> DataFrame:
     """Datapack rows of pages: links to existing pages with redirects followed, counted, and joined with corpus frequencies."""
     # parsed once: links, titles, redirects and content are four readings of it
-    pages = mining.cut(pages)
+    pages = mining.cut(mining.spread(pages))
     found = mining.cut(mining.links_resolved(mining.links(pages), pages))
     resolved = mining.follow_redirects(found, mining.redirect_closure(mining.redirects(pages)))
     return mining.datapack(mining.anchor_entity_counts(resolved), mining.alias_corpus_freq(pages, found))

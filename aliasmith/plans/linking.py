@@ -88,23 +88,27 @@ def grid(lines: DataFrame, best: DataFrame, names: DataFrame, types: DataFrame,
     return d.distinct().withColumn("n", F.lit(1))
 
 
-def link_texts(mentions: DataFrame, candidates: DataFrame, names: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """(doc_id, pos, surface, entity_id, entity): one entity for each mention of a document so that neighbours agree; null where a mention has no candidate.
+def text_candidates(mentions: DataFrame, candidates: DataFrame, names: DataFrame, k: int = 10) -> DataFrame:
+    """(doc_id, pos, surface, place, k, entity_id, entity): the k best entities of each mention that has any; place: of the mention among these in its document.
 
-    mentions: doc_id, pos, surface; names: entity_id, entity (url-encoded).
+    mentions: doc_id, pos, surface; names: entity_id, entity (url-encoded). A written table.
     """
     m = mentions.select("doc_id", "pos", F.trim("surface").alias("surface"))
     # equal surfaces are looked up once
     q = m.select("surface").distinct().select(F.col("surface").alias("query_id"), F.col("surface").alias("text"))
     got = link_greedy(q, candidates, k).join(names, "entity_id").select(F.col("query_id").alias("surface"), (F.col("rank") - 1).alias("k"), "entity_id", text.decode(F.col("entity")).alias("entity"))
-    c = m.join(got, "surface")
-    place = F.dense_rank().over(_by("doc_id", "pos"))
-    slots = F.row_number().over(_by(["doc_id", "pos"], "k")) - 1
-    # read three times from here on
-    c = mining.cut(c.withColumn("_p", place).withColumn("k", slots))
-    d = c.select("doc_id", F.col("_p").alias("pos"), "surface", "k", "entity")
-    chosen = coherence.choose(coherence.local_scores(d, vectors), coherence.pair_scores(d, vectors)).select("doc_id", F.col("pos").alias("_p"), "entity")
-    back = c.join(chosen, ["doc_id", "_p", "entity"]).groupBy("doc_id", "pos").agg(F.min_by(F.struct("entity_id", "entity"), "k").alias("e"))
+    c = m.join(written(got), "surface")
+    return mining.cut(c.withColumn("place", F.dense_rank().over(_by("doc_id", "pos"))).withColumn("k", F.row_number().over(_by(["doc_id", "pos"], "k")) - 1))
+
+
+def link_texts(mentions: DataFrame, candidates: DataFrame, names: DataFrame, vectors: DataFrame, k: int = 10, direction: str = "forward") -> DataFrame:
+    """(doc_id, pos, surface, entity_id, entity): one entity for each mention of a document so that neighbours agree; the first candidate where the path leaves a mention out, null where it has none. See text_candidates; direction: as in coherence.choose."""
+    c = text_candidates(mentions, candidates, names, k)
+    d = c.select("doc_id", F.col("place").alias("pos"), "surface", "k", "entity")
+    chosen = coherence.choose(coherence.local_scores(d, vectors), coherence.pair_scores(d, vectors), direction).select("doc_id", F.col("pos").alias("place"), F.col("entity").alias("_on"))
+    best = F.min_by(F.struct("entity_id", "entity"), F.struct(~F.coalesce(F.col("entity") == F.col("_on"), F.lit(False)), "k"))
+    back = c.join(chosen, ["doc_id", "place"], "left").groupBy("doc_id", "pos").agg(best.alias("e"))
+    m = mentions.select("doc_id", "pos", F.trim("surface").alias("surface"))
     return m.join(back, ["doc_id", "pos"], "left").select("doc_id", "pos", "surface", "e.entity_id", "e.entity")
 
 

@@ -149,15 +149,41 @@ def grid_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.grid(lines, _best(spark, sf_dir), names, types)
 
 
-def link_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities of the parts of each order, each name a mention."""
+def _texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Mentions, the part names of each order; candidates; names; vectors of words and entities."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
     m = li.groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos")).agg(F.min("p_name").alias("surface"))
     c = candidates(spark, sf_dir)
     names = c.select("entity_id", F.concat(F.lit("Brand_"), "entity_id").alias("entity")).distinct()
     e = entity_vectors(spark, sf_dir).select(F.concat(F.lit("_wiki_Brand_"), "entity_id").alias("word"), "vector")
-    w = word_vectors(spark, sf_dir)
-    return plans.link_texts(m, c, names, w.unionByName(e))
+    return m, c, names, word_vectors(spark, sf_dir).unionByName(e)
+
+
+def link_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of the parts of each order, each name a mention."""
+    return plans.link_texts(*_texts(spark, sf_dir))
+
+
+def text_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = plans.text_candidates(*_texts(spark, sf_dir)[:3])
+    return d.select("doc_id", "pos", "surface", F.col("place").cast("int").alias("place"), F.col("k").cast("int").alias("k"), "entity_id", "entity")
+
+
+def _coherent(direction: str):  # noqa: ANN202
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        m, c, names, vectors = _texts(spark, sf_dir)
+        d = plans.text_candidates(m, c, names).select("doc_id", F.col("place").alias("pos"), "surface", "k", "entity")
+        chosen = coherence.choose(coherence.local_scores(d, vectors), coherence.pair_scores(d, vectors), direction)
+        return chosen.select("doc_id", F.col("pos").cast("int").alias("pos"), "entity", F.round("score", 5).alias("score"))
+
+    return query
+
+
+def mention_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of neighbouring mentions' candidates, counted by the two entities."""
+    m, c, names, vectors = _texts(spark, sf_dir)
+    d = plans.text_candidates(m, c, names).select("doc_id", F.col("place").alias("pos"), "surface", "k", "entity")
+    return coherence.pair_scores(d, vectors).groupBy("p", "c").agg(F.count("*").alias("n"), F.round(F.sum("pair"), 3).alias("pair"))
 
 
 QUERIES = {
@@ -182,6 +208,12 @@ QUERIES = {
     "rank_contextual": link_contextual,
     "words_for_types": words_for_types,
     "grid_link": grid_link,
+    "text_candidates": text_candidates,
+    "mention_pairs": mention_pairs,
+    "coherent_dp": _coherent("forward"),
+    "best_backward": _coherent("backward"),
+    "best_merged": _coherent("merged"),
+    "link_texts": link_texts,
 }
 
 _SCORED = f"{CANDIDATES}, scored AS (SELECT cand.*, {R1} AS score FROM cand CROSS JOIN stats), best AS (SELECT alias, entity_id, type, score FROM (SELECT *, row_number() OVER (PARTITION BY alias ORDER BY score DESC, ix) AS k FROM scored) WHERE k = 1)"
