@@ -289,16 +289,12 @@ def score(docs: DataFrame, net: Network, counts: DataFrame) -> DataFrame:
             p[rare] -= np.log(n.total[tail[rare]])
             total = np.bincount(row, p, rows.num_rows) if len(row) else np.zeros(rows.num_rows)
             count = np.diff(row_bounds(row, rows.num_rows))
-            # one row a document, and one for each of its tail words
+            # one row a document, and one for each of its tail words, which seldom occur twice in it
             at = rows.column("row").to_numpy()
-            order = np.lexsort((h[rare], row[rare]))
-            r, w = row[rare][order], h[rare][order]
-            first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (r[1:] != r[:-1])][: len(w)])
-            times = np.diff(np.r_[first, len(w)]).astype(np.int64)
-            k, m = rows.num_rows, len(first)
-            word = np.r_[mix(at.view(np.uint64)), w[first]].view(np.int64)
+            k, m = rows.num_rows, int(rare.sum())
+            word = np.r_[mix(at.view(np.uint64)), h[rare]].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[at, at[r[first]]]), pa.array(word), pa.concat_arrays([rows.column("doc_id"), pa.nulls(m, pa.int64())]), pa.array(np.r_[count, times]), pa.array(np.r_[total, np.zeros(m)]), pa.array(np.r_[np.ones(k, bool), np.zeros(m, bool)])],
+                [pa.array(np.r_[at, at[row[rare]]]), pa.array(word), pa.concat_arrays([rows.column("doc_id"), pa.nulls(m, pa.int64())]), pa.array(np.r_[count, np.ones(m, np.int64)]), pa.array(np.r_[total, np.zeros(m)]), pa.array(np.r_[np.ones(k, bool), np.zeros(m, bool)])],
                 ["row", "word", "doc_id", "n", "part", "document"],
             )
 
