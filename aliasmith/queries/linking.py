@@ -186,6 +186,12 @@ def mention_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coherence.pair_scores(d, vectors).groupBy("p", "c").agg(F.count("*").alias("n"), F.round(F.sum("pair"), 3).alias("pair"))
 
 
+def first_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first in order of the part names of each order."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    return li.groupBy(F.col("l_orderkey").alias("query_id")).agg(F.sort_array(F.collect_list("p_name")).alias("x")).select("query_id", rank.keep_first(F.col("x")).alias("first"))
+
+
 QUERIES = {
     "rank_probability": _ranked(scoring.probability),
     "rank_npmi": _ranked(scoring.npmi),
@@ -208,6 +214,7 @@ QUERIES = {
     "rank_contextual": link_contextual,
     "words_for_types": words_for_types,
     "grid_link": grid_link,
+    "keep_first": first_parts,
     "text_candidates": text_candidates,
     "mention_pairs": mention_pairs,
     "coherent_dp": _coherent("forward"),
@@ -269,7 +276,18 @@ _GRID_SQL = (
     + f", {_dp(False)}, linked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first DESC) AS rank, entity_id FROM seg WHERE entity_id <> -1 AND score > -6) SELECT CASE WHEN entity_id % 2 = 0 THEN 'even' ELSE 'NF' END AS type, query_id AS query, replace(replace(replace(replace(replace(replace(query_id, ' the ', ' '), ' of ', ' '), ' a ', ' '), ' at ', ' '), ' in ', ' '), 'brand', '') AS intent, 'Brand_%28' || entity_id || '%29' AS entity, 1 AS n FROM linked WHERE rank = 1"
 )
 
+_CONTEXTUAL = f"WITH RECURSIVE {_SCORED}, {_BAG}, {_CENTROID}, " + _SPANS.split(f"{QUERY_TEXTS}, {TOKENS}, ")[1].split(", met AS")[0] + f""", near AS (
+  SELECT query_id, entity_id, coalesce({_DOT.format('vector', 'c')} / sqrt({_DOT.format('c', 'c')}), {_NONE}) AS context FROM (SELECT DISTINCT query_id, entity_id FROM spans JOIN cand USING (alias)) LEFT JOIN ev USING (entity_id) LEFT JOIN cen USING (query_id)
+), judged AS (
+  SELECT query_id, s, e, entity_id, ix, greatest(greatest(context, -30)::FLOAT, -30::FLOAT)::DOUBLE + ln(prior::DOUBLE) + (1 / (1 + exp(-(e - s - 1)::DOUBLE)))::FLOAT::DOUBLE AS score
+  FROM spans JOIN (SELECT cand.*, {R3} AS prior FROM cand CROSS JOIN stats) USING (alias) JOIN near USING (query_id, entity_id)
+), met AS MATERIALIZED (SELECT query_id, s, e, entity_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, s, e ORDER BY score DESC, ix) AS place FROM judged) WHERE place = 1), {_dp(False)}
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first DESC)::INT AS rank, first, last, entity_id, round(score, 5) AS score FROM seg WHERE entity_id <> -1 AND score > {THRESHOLD}"""
+_NAMES = "names AS (SELECT query_id, list_sort(list(p_name)) AS x FROM (SELECT l_orderkey AS query_id, p_name FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY 1)"
+
 SQL = {
+    "rank_contextual": _CONTEXTUAL,
+    "keep_first": f"WITH {_NAMES} SELECT query_id, x[1] AS first FROM names",
     "rank_probability": f"WITH {CANDIDATES} SELECT alias, entity_id, round({R1}, 6) AS score FROM cand CROSS JOIN stats",
     "rank_npmi": f"WITH {CANDIDATES} SELECT alias, entity_id, round(({R2})::DOUBLE, 6) AS score FROM cand CROSS JOIN stats",
     "rank_contextual_prior": f"WITH {CANDIDATES} SELECT alias, entity_id, round(({R3})::DOUBLE, 6) AS score FROM cand CROSS JOIN stats",

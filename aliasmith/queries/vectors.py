@@ -108,6 +108,12 @@ def first_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("label", "k", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
+def cluster_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean vectors of the embeddings by their label, in long form."""
+    d = op.cluster_centroids(_table(spark, sf_dir).select(F.col("label").alias("cluster"), "vector"))
+    return d.select("cluster", F.posexplode("vector").alias("k", "x")).select("cluster", "k", F.round("x", 6).alias("x"))
+
+
 QUERIES = {
     "inner_cosine": inner_cosine,
     "centroid": centroid,
@@ -126,6 +132,7 @@ QUERIES = {
     "kmeans_cosine": kmeans,
     "train_lr": train_entities,
     "first_vector": first_vectors,
+    "calculate_centroids": cluster_centroids,
 }
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
@@ -142,6 +149,7 @@ def _errors(qs: str) -> str:
 
 
 SQL = {
+    "calculate_centroids": f"WITH {_FLAT} SELECT label AS cluster, k, round(avg(x), 6) AS x FROM flat GROUP BY ALL",
     "inner_cosine": f"SELECT a.vec_id AS word, round({_DOT.format('a.embedding', 'b.embedding')}, 6) AS inner_product, round({_COS.format('a.embedding', 'b.embedding')}, 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "centroid": f"WITH {_FLAT} SELECT label, k, round(avg(x), 6) AS x FROM flat GROUP BY ALL",
     "quantize": f"WITH {_QUANT} SELECT word, k, n AS x FROM q",

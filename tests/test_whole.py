@@ -3,6 +3,7 @@
 import numpy as np
 
 from aliasmith.operators import embedding, mining, segment
+from aliasmith.functions.scoring import importance
 from aliasmith.queries import vectors
 
 
@@ -90,3 +91,18 @@ def test_a_long_query(spark):
     met = spark.createDataFrame([(1, 2200, 2201, 7, -1.5), (1, 0, 0, 8, -2.0)], "query_id int, start int, end int, entity_id int, score double")
     got = [tuple(x)[1:] for x in segment.segment(words, met).filter("entity_id >= 0").collect()]
     assert sorted(got) == [(0, 0, 8, -2.0), (2200, 2201, 7, -1.5)]
+
+
+def test_importance_with_search_counts(spark):
+    names = ["search_total", "alt_total", "graph_total", "entity_total", "search_alias_freq", "alt_alias_freq", "graph_alias_freq", "search_alias_entity_freq", "alt_alias_entity_freq", "graph_alias_entity_freq", "search_clicks"]
+    rows = [(40, 25, 100, 3, 30, 20, 60, 12, 7, 33, 9), (0, 5, 10, 1, 0, 2, 4, 0, 1, 4, 0)]
+    d = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names))
+    for row, got in zip(rows, d.select(*[c.alias(k) for k, c in importance().items()]).collect()):
+        st, at, gt, n, saf, aaf, gaf, saef, aaef, gaef, clicks = map(float, row)
+        ps, sa, se = (st + 1) / (st + gt + 2), (clicks + 1) / (st + 2), (saef + 1) / (saf + n)
+        aa, ae, ga, ge = (aaf + 1) / (at + 2), (aaef + 1) / (aaf + n), (gaf + 1) / (gt + 2), (gaef + 1) / (gaf + n)
+        ws, wa = (st + 1) / (st + at + gt + 3), (at + 1) / (st + at + gt + 3)
+        want = {"search_prob_phrase": ps, "search_prob_alias": sa, "search_prob_entity_alias": se, "alt_search_prob_alias": aa, "alt_search_prob_entity_alias": ae, "search_weight": ws, "alt_search_weight": wa}
+        want |= {"graph_prob_phrase": 1 - ps, "graph_prob_alias": ga, "graph_prob_entity_alias": ge, "graph_weight": 1 - ws - wa, "link_importance_00": ps * sa * se + (1 - ps) * ga * ge}
+        want |= {"link_importance_01": ps * ga * se + (1 - ps) * ga * ge, "link_importance_02": ws * sa * se + wa * aa * ae + (1 - ws - wa) * ga * ge}
+        assert all(abs(got[k] - v) < 1e-12 for k, v in want.items()) and set(want) == set(got.asDict())
