@@ -7,12 +7,19 @@ pairs asked for; an entity without a vector, or a query without words, has the l
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.numeric import ln
+from ..functions.scoring import LEAST_CONTEXT
 from ..functions.vectors import cosine, inner, norm
+from . import batch, rank, segment
 
 #: The least single-precision number.
 NO_CONTEXT = -3.4028234663852886e38
@@ -95,3 +102,237 @@ def type_score(pairs: DataFrame, words: DataFrame, lm: DataFrame, totals: DataFr
     s = hit.groupBy("query_id", "type").agg(F.sum(p).alias("s"))
     d = pairs.select("query_id", "type").distinct().join(s, ["query_id", "type"], "left")
     return d.select("query_id", "type", F.when(F.coalesce("s", F.lit(0.0)) == 0, F.lit(TYPE_DEFAULT)).otherwise(F.col("s")).alias("context"))
+
+
+# The same of (query_id, words): where the tables are small, a query is one row of its words and what is asked for, from which its scores come in one step.
+
+
+class _Bag:
+    """Words of the rows of a batch that have a number: row, number."""
+
+    def __init__(self, words: pa.Array, names: pa.Array, sizes: list[int], stop: pa.Array | None = None) -> None:
+        lens = batch.lengths(words)
+        flat, (row, place) = words.flatten(), batch.within(lens)
+        rows, ids = [], []
+        for n in sizes:
+            at = np.flatnonzero(lens[row] - place >= n)
+            found = np.array(batch.looked_up(batch.joined(flat, at, n, "_"), names))
+            if stop is not None:
+                found[batch.looked_up(flat, stop) >= 0] = -1
+            rows.append(row[at][found >= 0])
+            ids.append(found[found >= 0])
+        row, number = (np.concatenate(x) for x in (rows, ids))
+        order = np.argsort(row, kind="stable")
+        self.row, self.number, self.rows = row[order], number[order], len(lens)
+        self.count = np.bincount(row, minlength=self.rows).astype(np.int64)
+
+    def sums(self, table: np.ndarray) -> np.ndarray:
+        """Sum of the rows of table of the words of each row."""
+        out = np.zeros((self.rows, table.shape[1]))
+        has = np.flatnonzero(self.count)
+        if len(has):
+            out[has] = np.add.reduceat(table[self.number], batch.starts(self.count)[has], axis=0)
+        return out
+
+    def pair_sums(self, row: np.ndarray, what: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Sum of table[word, what] over the words of row."""
+        pair, at = batch.expanded(batch.starts(self.count)[row], self.count[row])
+        return np.bincount(pair, table[self.number[at], what[pair]], minlength=len(row))
+
+
+def _asked(pairs: DataFrame, words: DataFrame, column: str) -> DataFrame:
+    """(query_id, words, asked): one row a query that something is asked of, asked: structs of the distinct values."""
+    asked = pairs.groupBy("query_id").agg(F.collect_set(F.struct(column)).alias("asked"))
+    return asked.join(words.select("query_id", "words"), "query_id", "left").select("query_id", "words", "asked")
+
+
+def _scored_in_rows(pairs: DataFrame, words: DataFrame, column: str, score: Callable[[pa.Array, np.ndarray, pa.Array], np.ndarray]) -> DataFrame:
+    """(query_id, column, context): score gives the context of the values asked of rows, from words, rows and values."""
+    kind = lambda c: pairs.schema[c].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row = batch.within(batch.lengths(b.column("asked")))[0]
+            value = pc.struct_field(b.column("asked").flatten(), column)
+            with np.errstate(all="ignore"):
+                context = score(b.column("words"), row, value)
+            yield pa.RecordBatch.from_pydict({"query_id": b.column("query_id").take(pa.array(row)), column: value, "context": pa.array(context, pa.float64())})
+
+    return _asked(pairs, words, column).mapInArrow(run, f"query_id {kind('query_id')}, {column} {kind(column)}, context double")
+
+
+def _tables(vectors: DataFrame, entities: DataFrame, more: int = 0) -> tuple | None:
+    """Words, their vectors, entities and theirs, all small and of one length, entities `more` longer."""
+    w, e = batch.small_vectors(vectors, "word"), batch.small_vectors(entities, "entity_id")
+    return None if w is None or e is None or w[1].shape[1] + more != e[1].shape[1] else (*w, *e)
+
+
+#: Words of a context word: itself, or with the one before.
+_CONTEXT_SIZES = [1, 2]
+
+
+def _centroid(bag: _Bag, vectors: np.ndarray, row: np.ndarray, entity: np.ndarray, entities: np.ndarray) -> np.ndarray:
+    """centroid_score of entities (-1: without a vector) of rows."""
+    c = bag.sums(vectors)
+    n = np.sqrt((c * c).sum(1))[row]
+    out = np.einsum("ij,ij->i", c[row], entities[entity]) / np.where(n == 0, np.nan, n)
+    out[(n == 0)] = np.nan
+    out[((entity < 0) & (n != 0)) | (bag.count[row] == 0)] = NO_CONTEXT
+    return out
+
+
+def centroid_of_words(pairs: DataFrame, words: DataFrame, vectors: DataFrame, entities: DataFrame) -> DataFrame:
+    """centroid_score."""
+    t = _tables(vectors, entities)
+    if t is None:
+        return centroid_score(pairs, bag_of_words(words, vectors), entities)
+    shared = words.sparkSession.sparkContext.broadcast(t)
+
+    def score(words: pa.Array, row: np.ndarray, value: pa.Array) -> np.ndarray:
+        names, v, ids, e = shared.value
+        return _centroid(_Bag(words, names, _CONTEXT_SIZES), v, row, batch.looked_up(value, ids), e)
+
+    return _scored_in_rows(pairs, words, "entity_id", score)
+
+
+def cosine_of_words(pairs: DataFrame, words: DataFrame, vectors: DataFrame, entities: DataFrame) -> DataFrame:
+    """cosine_score."""
+    t = _tables(vectors, entities)
+    if t is None:
+        return cosine_score(pairs, words, vectors, entities)
+    shared = words.sparkSession.sparkContext.broadcast((*t, pa.array(text.CENTROID_STOPWORDS, pa.string())))
+
+    def score(words: pa.Array, row: np.ndarray, value: pa.Array) -> np.ndarray:
+        names, v, ids, e, stop = shared.value
+        bag, entity = _Bag(words, names, [1], stop), batch.looked_up(value, ids)
+        c = bag.sums(v)
+        d = np.sqrt((e * e).sum(1))[entity] * np.sqrt((c * c).sum(1))[row]
+        out = np.einsum("ij,ij->i", c[row], e[entity]) / np.where(d == 0, 1.0, d)
+        out[(entity < 0) | (bag.count[row] == 0) | (d == 0)] = 0.0
+        return out
+
+    return _scored_in_rows(pairs, words, "entity_id", score)
+
+
+def _logistic_in_rows(pairs: DataFrame, words: DataFrame, t: tuple, terms: np.ndarray) -> DataFrame:
+    shared = words.sparkSession.sparkContext.broadcast((t[0], t[2], terms))
+
+    def score(words: pa.Array, row: np.ndarray, value: pa.Array) -> np.ndarray:
+        names, ids, terms = shared.value
+        bag, entity = _Bag(words, names, _CONTEXT_SIZES), batch.looked_up(value, ids)
+        out = -bag.pair_sums(row, entity, terms)
+        out[(entity < 0) | (bag.count[row] == 0)] = NO_CONTEXT
+        return out
+
+    return _scored_in_rows(pairs, words, "entity_id", score)
+
+
+def _fits(rows: int, columns: int) -> bool:
+    return 8 * rows * columns <= batch.LOCAL_BYTES
+
+
+def logistic_of_words(pairs: DataFrame, words: DataFrame, vectors: DataFrame, entities: DataFrame) -> DataFrame:
+    """logistic_score."""
+    t = _tables(vectors, entities)
+    if t is None or not _fits(len(t[0]), len(t[2])):
+        return logistic_score(pairs, bag_of_words(words, vectors), entities)
+    with np.errstate(over="ignore"):
+        return _logistic_in_rows(pairs, words, t, np.log1p(np.exp(-(t[1] @ t[3].T))))
+
+
+def biased_of_words(pairs: DataFrame, words: DataFrame, vectors: DataFrame, entities: DataFrame) -> DataFrame:
+    """biased_logistic_score."""
+    t = _tables(vectors, entities, 1)
+    if t is None or not _fits(len(t[0]), len(t[2])):
+        return biased_logistic_score(pairs, bag_of_words(words, vectors), entities)
+    with np.errstate(over="ignore"):
+        return _logistic_in_rows(pairs, words, t, np.log1p(np.exp(t[1] @ t[3][:, :-1].T + t[3][:, -1])))
+
+
+def normalizer_of_words(words: DataFrame, vectors: DataFrame) -> DataFrame:
+    """query_normalizer."""
+    t = batch.small_vectors(vectors, "word")
+    if t is None:
+        return query_normalizer(bag_of_words(words, vectors))
+    with np.errstate(over="ignore"):
+        shared = words.sparkSession.sparkContext.broadcast((t[0], np.log1p(np.exp((t[1] * t[1]).sum(1)))[:, None]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, terms = shared.value
+        for b in batches:
+            bag = _Bag(b.column("words"), names, _CONTEXT_SIZES)
+            x = -bag.sums(terms)[:, 0]
+            has = np.flatnonzero(bag.count)
+            yield pa.RecordBatch.from_pydict({"query_id": b.column("query_id").take(pa.array(has)), "normalizer": pa.array(np.where(x == 0, 1.0, x)[has], pa.float64())})
+
+    return words.select("query_id", "words").mapInArrow(run, f"query_id {words.schema['query_id'].dataType.simpleString()}, normalizer double")
+
+
+def types_of_words(pairs: DataFrame, words: DataFrame, lm: DataFrame, totals: DataFrame, background: DataFrame) -> DataFrame:
+    """type_score."""
+    p = ln(F.try_divide(F.col("freq") + F.lit(MU_TYPE) * F.try_divide(F.col("bg_freq").cast("double"), F.col("total_freq").cast("double")), F.col("type_freq") + F.lit(MU_TYPE)))
+    t = batch.small(lm.join(totals, "type").join(background, "ngram").select("type", "ngram", p.alias("p")))
+    ids, names = (pc.unique(t.column(c)) for c in ("type", "ngram")) if t is not None else (None, None)
+    if t is None or not _fits(len(ids), len(names)):
+        return type_score(pairs, words, lm, totals, background)
+    # sums, as an n-gram that a model has twice counts twice
+    terms = np.zeros((len(names), len(ids)))
+    np.add.at(terms, (batch.looked_up(batch.column(t, "ngram"), names), batch.looked_up(batch.column(t, "type"), ids)), batch.numbers(batch.column(t, "p"), 0.0))
+    shared = words.sparkSession.sparkContext.broadcast((ids, names, terms))
+
+    def score(words: pa.Array, row: np.ndarray, value: pa.Array) -> np.ndarray:
+        ids, names, terms = shared.value
+        bag, kind = _Bag(words, names, [1, 2, 3]), batch.looked_up(value, ids)
+        out = bag.pair_sums(row, kind, terms) if len(names) else np.zeros(len(row))
+        out[(kind < 0) | (out == 0)] = TYPE_DEFAULT
+        return out
+
+    return _scored_in_rows(pairs, words, "type", score)
+
+
+def linked_by_centroid(words: DataFrame, kept: DataFrame, vectors: DataFrame, entities: DataFrame, threshold: float) -> DataFrame | None:
+    """(query_id, rank, start, end, entity_id, score): plans.link_contextual with centroid_score, where the tables are small; else None. kept: alias, entity_id, type, ix, prior, an alias's entities once."""
+    t = _tables(vectors, entities)
+    k = batch.small(kept.filter("alias is not null").select("alias", "entity_id", "ix", F.col("prior").cast("double").alias("prior"))) if t is not None else None
+    if k is None:
+        return None
+    names = pc.unique(k.column("alias"))
+    of, ix = batch.looked_up(batch.column(k, "alias"), names), batch.numbers(batch.column(k, "ix"), 0)
+    order = np.lexsort((ix, of))
+    count = np.bincount(of, minlength=len(names)).astype(np.int64)
+    number = batch.numbers(batch.column(k, "entity_id"), -1).astype(np.int64)[order]
+    prior = batch.numbers(batch.column(k, "prior"), np.nan)[order]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        # each entity once, and its vector by number
+        ids, one = np.unique(number, return_inverse=True)
+        shared = words.sparkSession.sparkContext.broadcast((*t, names, batch.gram_sizes(names), batch.starts(count)[:-1], count, ids, one, np.log(prior)))
+    key = words.schema["query_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, v, vector_of, e, names, sizes, first, count, ids, one, log_prior = shared.value
+        vector = batch.looked_up(pa.array(ids, vector_of.type), vector_of)
+        for b in batches:
+            for i in range(0, b.num_rows, 2000):
+                part = b.slice(i, 2000)
+                words = part.column("words")
+                with np.errstate(all="ignore"):
+                    row, start, end, at = batch.grams(words, names, sizes, " ")
+                    of, at = batch.expanded(first[at], count[at])
+                    # an entity is compared once with a query
+                    asked, back = np.unique(row[of] * len(ids) + one[at], return_inverse=True)
+                    context = _centroid(_Bag(words, known, _CONTEXT_SIZES), v, asked // max(len(ids), 1), vector[asked % max(len(ids), 1)], e)
+                    f32 = np.maximum(context.astype(np.float32), np.float32(LEAST_CONTEXT)).astype(np.float64)
+                    f32[np.isnan(context)] = np.nan
+                    bonus = (1.0 / (1.0 + np.exp(-((end - start).astype(np.float64) - 1)))).astype(np.float32).astype(np.float64)
+                    score = f32[back] + log_prior[at] + bonus[of]
+                # the best of each span, the first of equals; where none counts, the first with the least double
+                counts = ~np.isnan(score) & (score > rank.LEAST)
+                ranks = np.where(counts, score, -np.inf)
+                order = np.lexsort((np.arange(len(of)), -ranks, of))
+                order = order[np.r_[True, of[order][1:] != of[order][:-1]]] if len(of) else order
+                best = (row[of[order]], start[of[order]], end[of[order]], ids[one[at[order]]], np.where(counts[order], score[order], rank.LEAST))
+                found = batch.fold(batch.lengths(words), *best)
+                found, more = segment.ranked_results(found, {}, threshold)
+                yield segment.out(part, *found, **more)
+
+    return words.filter(F.size("words") > 0).select("query_id", "words").mapInArrow(run, f"query_id {key}, start int, end int, entity_id int, score double, rank int")

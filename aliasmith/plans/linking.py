@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import coherence, mining, rank, segment, store
+from ..operators import coherence, context, mining, rank, segment, store
 
 GRID_THRESHOLD = -6.0
 
@@ -34,27 +34,29 @@ def matches(words: DataFrame, aliases: DataFrame, longest: int | None = None) ->
 
 def link(queries: DataFrame, best: DataFrame, threshold: float, textbook: bool = False, longest: int | None = None) -> DataFrame:
     """(query_id, rank, alias, start, end, entity_id, score): entities of (query_id, text) whose segment scores above the threshold."""
-    words, best = written(segment.tokenized(queries)), written(best)
-    segs = segment.segment(words, matches(words, best, longest), textbook, aliases=True)
-    return rank.results(segs, threshold).select("query_id", "rank", "alias", "start", "end", "entity_id", "score")
+    return segment.segment_aliases(segment.tokenized(queries), written(best), longest, textbook, True, threshold).select("query_id", "rank", "alias", "start", "end", "entity_id", "score")
 
 
 def link_max(queries: DataFrame, best: DataFrame, threshold: float) -> DataFrame:
     """link by the greatest segment score, without tokens that only name a site."""
-    words, best = written(segment.tokenized(queries, text.SITE_STOPWORDS)), written(best)
-    return rank.results(segment.segment_max(words, matches(words, best)), threshold)
+    return segment.segment_max_aliases(segment.tokenized(queries, text.SITE_STOPWORDS), written(best), threshold)
+
+
+def _top(candidates: DataFrame, k: int, ranker: Column | None) -> DataFrame:
+    rows = rank.scored(candidates, store.global_stats(candidates), scoring.probability() if ranker is None else ranker)
+    return written(rank.topk(rows, ["alias"], k).select("alias", "entity_id", "type", "ix", "score", "rank"))
 
 
 def all_candidates(queries: DataFrame, candidates: DataFrame, k: int, ranker: Column | None = None) -> DataFrame:
     """(query_id, start, end, alias, entity_id, ix, score, rank): the best k entities of every span that is an alias. Ranked once an alias, not once a span."""
-    rows = rank.scored(candidates, store.global_stats(candidates), scoring.probability() if ranker is None else ranker)
-    top = written(rank.topk(rows, ["alias"], k).select("alias", "entity_id", "type", "ix", "score", "rank"))
-    return matches(segment.tokenized(queries), top)
+    return matches(segment.tokenized(queries), _top(candidates, k, ranker))
 
 
 def link_greedy(queries: DataFrame, candidates: DataFrame, k: int, ranker: Column | None = None) -> DataFrame:
-    """The first k entities of each query over all its spans."""
-    return rank.greedy(all_candidates(queries, candidates, k, ranker).drop("rank"), k)
+    """(query_id, start, end, alias, entity_id, type, ix, score, rank): the first k entities of each query over all its spans."""
+    top, words = _top(candidates, k, ranker), segment.tokenized(queries)
+    found = segment.greedy_aliases(words, top, k)
+    return rank.greedy(matches(words, top).drop("rank"), k) if found is None else found
 
 
 def link_contextual(queries: DataFrame, candidates: DataFrame, context, threshold: float, survivors: int = 1000) -> DataFrame:  # noqa: ANN001
@@ -63,9 +65,8 @@ def link_contextual(queries: DataFrame, candidates: DataFrame, context, threshol
     context(pairs, words) gives (query_id, entity_id, context) of the pairs.
     """
     words = written(segment.tokenized(queries))
-    rows = rank.scored(candidates, store.global_stats(candidates), scoring.contextual_prior()).withColumnRenamed("score", "prior")
     # the prior doesn't depend on the query: candidates are cut before they meet the spans
-    kept = written(rank.survivors(rows, ["alias"], survivors).select("alias", "entity_id", "type", "ix", "prior"))
+    kept = _survivors(candidates, survivors)
     met = written(matches(words, kept))
     scores = context(met.select("query_id", "entity_id").distinct(), words)
     met = met.join(scores, ["query_id", "entity_id"])
@@ -74,6 +75,21 @@ def link_contextual(queries: DataFrame, candidates: DataFrame, context, threshol
     return rank.results(segment.segment(words, top), threshold)
 
 
+def link_centroid(queries: DataFrame, candidates: DataFrame, vectors: DataFrame, entities: DataFrame, threshold: float, survivors: int = 1000) -> DataFrame:
+    """link_contextual with the centroid of the query's words. Tables small enough go to the tasks, and what a query meets never leaves its task."""
+    words = segment.tokenized(queries)
+    kept = _survivors(candidates, survivors)
+    found = context.linked_by_centroid(words, kept, vectors, entities, threshold)
+    if found is not None:
+        return found
+    return link_contextual(queries, candidates, lambda pairs, words: context.centroid_score(pairs, context.bag_of_words(words, vectors), entities), threshold, survivors)
+
+
+def _survivors(candidates: DataFrame, survivors: int) -> DataFrame:
+    rows = rank.scored(candidates, store.global_stats(candidates), scoring.contextual_prior()).withColumnRenamed("score", "prior")
+    return written(rank.survivors(rows, ["alias"], survivors).select("alias", "entity_id", "type", "ix", "prior"))
+
+
 def grid(lines: DataFrame, best: DataFrame, names: DataFrame, types: DataFrame, threshold: float = GRID_THRESHOLD, last_column: bool = False) -> DataFrame:
     """(type, query, intent, entity, n): distinct results of linking lines (column value), their first or last tab-separated column; the best entity of each, its type or NF, and what else the query asks.
 
@@ -88,33 +104,30 @@ def grid(lines: DataFrame, best: DataFrame, names: DataFrame, types: DataFrame,
     return d.distinct().withColumn("n", F.lit(1))
 
 
+def surface_candidates(mentions: DataFrame, candidates: DataFrame, names: DataFrame, k: int = 10) -> DataFrame:
+    """(surface, k, entity_id, entity): the k best entities of each distinct surface that has any, numbered from 0. A written table. mentions, names: see text_candidates."""
+    q = mentions.select(F.trim("surface").alias("query_id")).distinct().withColumn("text", F.col("query_id"))
+    got = link_greedy(q, candidates, k).join(names, "entity_id").select(F.col("query_id").alias("surface"), "rank", "entity_id", text.decode(F.col("entity")).alias("entity"))
+    # an entity without a name leaves no gap
+    return mining.cut(got.select("surface", (F.row_number().over(_by("surface", "rank")) - 1).alias("k"), "entity_id", "entity"))
+
+
 def text_candidates(mentions: DataFrame, candidates: DataFrame, names: DataFrame, k: int = 10) -> DataFrame:
     """(doc_id, pos, surface, place, k, entity_id, entity): the k best entities of each mention that has any; place: of the mention among these in its document.
 
-    mentions: doc_id, pos, surface; names: entity_id, entity (url-encoded). A written table.
+    mentions: doc_id, pos, surface, one a place; names: entity_id, entity (url-encoded). Mentions are placed before their candidates come in.
     """
-    m = mentions.select("doc_id", "pos", F.trim("surface").alias("surface"))
-    # equal surfaces are looked up once
-    q = m.select("surface").distinct().select(F.col("surface").alias("query_id"), F.col("surface").alias("text"))
-    got = link_greedy(q, candidates, k).join(names, "entity_id").select(F.col("query_id").alias("surface"), (F.col("rank") - 1).alias("k"), "entity_id", text.decode(F.col("entity")).alias("entity"))
-    c = m.join(written(got), "surface")
-    return mining.cut(c.withColumn("place", F.dense_rank().over(_by("doc_id", "pos"))).withColumn("k", F.row_number().over(_by(["doc_id", "pos"], "k")) - 1))
+    m, c = mentions.select("doc_id", "pos", F.trim("surface").alias("surface")), surface_candidates(mentions, candidates, names, k)
+    m = m.join(c.select("surface").distinct(), "surface", "left_semi").withColumn("place", F.dense_rank().over(_by("doc_id", "pos")))
+    return m.join(c, "surface").select("doc_id", "pos", "surface", "place", "k", "entity_id", "entity")
 
 
 def link_texts(mentions: DataFrame, candidates: DataFrame, names: DataFrame, vectors: DataFrame, k: int = 10, direction: str = "forward") -> DataFrame:
     """(doc_id, pos, surface, entity_id, entity): one entity for each mention of a document so that neighbours agree; the first candidate where the path leaves a mention out, null where it has none. See text_candidates; direction: as in coherence.choose."""
-    c = text_candidates(mentions, candidates, names, k)
-    d = c.select("doc_id", F.col("place").alias("pos"), "surface", "k", "entity")
-    chosen = coherence.choose(coherence.local_scores(d, vectors), coherence.pair_scores(d, vectors), direction).select("doc_id", F.col("pos").alias("place"), F.col("entity").alias("_on"))
-    best = F.min_by(F.struct("entity_id", "entity"), F.struct(~F.coalesce(F.col("entity") == F.col("_on"), F.lit(False)), "k"))
-    back = c.join(chosen, ["doc_id", "place"], "left").groupBy("doc_id", "pos").agg(best.alias("e"))
-    m = mentions.select("doc_id", "pos", F.trim("surface").alias("surface"))
-    return m.join(back, ["doc_id", "pos"], "left").select("doc_id", "pos", "surface", "e.entity_id", "e.entity")
+    return coherence.resolved(mentions, surface_candidates(mentions, candidates, names, k), vectors, direction).select("doc_id", "pos", "surface", "entity_id", "entity")
 
 
 def _by(keys, order):  # noqa: ANN001, ANN202
     from pyspark.sql import Window
 
     return Window.partitionBy(*([keys] if isinstance(keys, str) else keys)).orderBy(order)
-
-
