@@ -21,7 +21,7 @@ _SPACE = r"[\p{Space}\p{Cntrl}]+"
 _PUNCT = r"\p{Punct}+"
 _MARKS = r"[\x{300}-\x{36F}\p{Lm}\p{Sk}]+"
 #: Letters beyond U+FFFF count as separators, like everything that isn't a letter or decimal digit.
-_SEPARATORS = r"(?:[^\p{L}\p{Nd}]|[\x{10000}-\x{10FFFF}])+"
+_SEPARATORS = r"[[\P{L}&&\P{Nd}]\x{10000}-\x{10FFFF}]+"
 _TOKEN = r"(?:(?![\x{10000}-\x{10FFFF}])[\p{L}\p{Nd}])+"
 INTENT_STOPWORDS = ("the", "of", "a", "at", "in")
 CENTROID_STOPWORDS = ("of", "the", "in", "at", "on", "for")
@@ -35,8 +35,7 @@ def normalize(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Tokens of the normalized text; an empty array if there are none."""
-    n = normalize(c)
-    return F.when(n == "", F.array().cast("array<string>")).otherwise(F.split(n, " "))
+    return F.array_remove(F.split(normalize(c), " "), "")
 
 
 def normalize_with_spans(c: Column) -> Column:
