@@ -181,6 +181,28 @@ def _centroid(bag: _Bag, vectors: np.ndarray, row: np.ndarray, entity: np.ndarra
     return out
 
 
+def _contexts(bag: _Bag, vectors: np.ndarray, row: np.ndarray, what: np.ndarray, vector: np.ndarray, entities: np.ndarray) -> np.ndarray:
+    """_centroid of many entities of rows; vector: place of the vector of each. Few entities are compared once with every row, else those that a row asks for."""
+    if bag.rows * len(vector) <= batch.CELLS:
+        c = bag.sums(vectors)
+        n = np.sqrt((c * c).sum(1))[:, None]
+        every = np.stack([np.einsum("ij,j->i", c, entities[i]) for i in vector], 1) / np.where(n == 0, np.nan, n)
+        every[((vector < 0)[None, :] & (n != 0)) | (bag.count == 0)[:, None]] = NO_CONTEXT
+        return every[row, what]
+    asked, back = np.unique(row * len(vector) + what, return_inverse=True)
+    return _centroid(bag, vectors, asked // len(vector), vector[asked % len(vector)], entities)[back]
+
+
+def _first_greatest(of: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Place of the first greatest value of each group; a group's values lie together."""
+    if not len(of):
+        return np.zeros(0, np.int64)
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    top = np.repeat(np.maximum.reduceat(value, first), np.diff(np.r_[first, len(of)]))
+    hit = np.flatnonzero(value == top)
+    return hit[np.r_[True, of[hit][1:] != of[hit][:-1]]]
+
+
 def centroid_of_words(pairs: DataFrame, words: DataFrame, vectors: DataFrame, entities: DataFrame) -> DataFrame:
     """centroid_score."""
     t = _tables(vectors, entities)
@@ -318,18 +340,14 @@ def linked_by_centroid(words: DataFrame, kept: DataFrame, vectors: DataFrame, en
                 with np.errstate(all="ignore"):
                     row, start, end, at = batch.grams(words, names, sizes, " ")
                     of, at = batch.expanded(first[at], count[at])
-                    # an entity is compared once with a query
-                    asked, back = np.unique(row[of] * len(ids) + one[at], return_inverse=True)
-                    context = _centroid(_Bag(words, known, _CONTEXT_SIZES), v, asked // max(len(ids), 1), vector[asked % max(len(ids), 1)], e)
+                    context = _contexts(_Bag(words, known, _CONTEXT_SIZES), v, row[of], one[at], vector, e)
                     f32 = np.maximum(context.astype(np.float32), np.float32(LEAST_CONTEXT)).astype(np.float64)
                     f32[np.isnan(context)] = np.nan
                     bonus = (1.0 / (1.0 + np.exp(-((end - start).astype(np.float64) - 1)))).astype(np.float32).astype(np.float64)
-                    score = f32[back] + log_prior[at] + bonus[of]
+                    score = f32 + log_prior[at] + bonus[of]
                 # the best of each span, the first of equals; where none counts, the first with the least double
                 counts = ~np.isnan(score) & (score > rank.LEAST)
-                ranks = np.where(counts, score, -np.inf)
-                order = np.lexsort((np.arange(len(of)), -ranks, of))
-                order = order[np.r_[True, of[order][1:] != of[order][:-1]]] if len(of) else order
+                order = _first_greatest(of, np.where(counts, score, -np.inf))
                 best = (row[of[order]], start[of[order]], end[of[order]], ids[one[at[order]]], np.where(counts[order], score[order], rank.LEAST))
                 found = batch.fold(batch.lengths(words), *best)
                 found, more = segment.ranked_results(found, {}, threshold)
