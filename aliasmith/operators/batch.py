@@ -5,6 +5,8 @@ A table of more than LOCAL_ROWS rows or LOCAL_BYTES doesn't go to the tasks; its
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -61,6 +63,37 @@ def joined(flat: pa.Array, at: np.ndarray, n: int, sep: str) -> pa.Array:
     return flat.take(pa.array(at)) if n == 1 else pc.binary_join_element_wise(*[flat.take(pa.array(at + i)) for i in range(n)], sep)
 
 
+def begins(a: pa.Array) -> np.ndarray:
+    """Whether each element differs from the one before it; nulls are alike."""
+    null = a.is_null().to_numpy(zero_copy_only=False)
+    same = numbers(pc.equal(a.slice(1), a.slice(0, max(len(a) - 1, 0))), False) | (null[1:] & null[:-1])
+    return np.r_[True, ~same][: len(a)]
+
+
+def whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """The rows cut anew so that those of one key, which lie together, come in one batch."""
+    kept: list[pa.RecordBatch] = []
+
+    def together(*more: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield from pa.Table.from_batches([*kept, *more]).combine_chunks().to_batches()
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(key)
+        # kept holds one key
+        new = begins(pa.concat_arrays([kept[-1].column(key).slice(0, 1), k]))[1:] if kept else begins(k)
+        at = np.flatnonzero(new)
+        if not len(at):
+            kept.append(b)
+            continue
+        if kept or at[-1]:
+            yield from together(b.slice(0, at[-1]))
+        kept = [b.slice(at[-1])]
+    if kept:
+        yield from together()
+
+
 def looked_up(keys: pa.Array, names: pa.Array) -> np.ndarray:
     """Place of each key in names, -1 for none."""
     return numbers(pc.index_in(keys, value_set=names, skip_nulls=True), -1)
@@ -154,16 +187,18 @@ def _textbook(lens, off, row, start, end, entity, score, cur, ids, prev) -> None
         # the total before each begin
         before = np.zeros((len(rows), n + 1))
         for y in range(n):
-            m = mine[cuts[y] : cuts[y + 1]]
-            r, x = at_row[row[m]], start[m]
-            total = before[:, : y + 1] + NIL_SCORE
-            total[r, x] = np.where(np.isnan(score[m]), -np.inf, score[m] + before[r, x])
+            # rows come by length: those that end before y are behind
+            done = int(np.searchsorted(lens[rows], y, "right"))
+            m, going = mine[cuts[y] : cuts[y + 1]], rows[done:]
+            r, x, past = at_row[row[m]] - done, start[m], before[done:]
+            total = past[:, : y + 1] + NIL_SCORE
+            total[r, x] = np.where(np.isnan(score[m]), -np.inf, score[m] + past[r, x])
             total[np.isnan(total)] = -np.inf
             top = total.argmax(1)
-            value = total[np.arange(len(rows)), top]
-            live = (lens[rows] > y) & (value > -1e300)
-            before[:, y + 1] = np.where(live, value, -1e300)
-            at = off[rows[live]] + y
+            value = total[np.arange(len(going)), top]
+            live = value > -1e300
+            past[:, y + 1] = np.where(live, value, -1e300)
+            at = off[going[live]] + y
             prev[at] = top[live]
             won = (top[r] == x) & live[r]
             at = off[row[m[won]]] + y
