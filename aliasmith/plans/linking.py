@@ -52,11 +52,11 @@ def all_candidates(queries: DataFrame, candidates: DataFrame, k: int, ranker: Co
     return matches(segment.tokenized(queries), _top(candidates, k, ranker))
 
 
-def link_greedy(queries: DataFrame, candidates: DataFrame, k: int, ranker: Column | None = None) -> DataFrame:
+def link_greedy(queries: DataFrame | segment.Pieces, candidates: DataFrame, k: int, ranker: Column | None = None) -> DataFrame:
     """(query_id, start, end, alias, entity_id, type, ix, score, rank): the first k entities of each query over all its spans."""
-    top, words = _top(candidates, k, ranker), segment.tokenized(queries)
+    top, words = _top(candidates, k, ranker), queries if isinstance(queries, segment.Pieces) else segment.tokenized(queries)
     found = segment.greedy_aliases(words, top, k)
-    return rank.greedy(matches(words, top).drop("rank"), k) if found is None else found
+    return rank.greedy(matches(segment.rows_of(words), top).drop("rank"), k) if found is None else found
 
 
 def link_contextual(queries: DataFrame, candidates: DataFrame, context, threshold: float, survivors: int = 1000) -> DataFrame:  # noqa: ANN001
