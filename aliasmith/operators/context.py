@@ -105,6 +105,7 @@ def type_score(pairs: DataFrame, words: DataFrame, lm: DataFrame, totals: DataFr
 
 
 # The same of (query_id, words): where the tables are small, a query is one row of its words and what is asked for, from which its scores come in one step.
+# pairs: None for what the Pieces given as words ask.
 
 
 class _Bag:
@@ -146,9 +147,11 @@ def _asked(pairs: DataFrame, words: DataFrame, column: str) -> DataFrame:
     return asked.join(words.select("query_id", "words"), "query_id", "left").select("query_id", "words", "asked")
 
 
-def _scored_in_rows(pairs: DataFrame, words: DataFrame, column: str, score: Callable[[pa.Array, np.ndarray, pa.Array], np.ndarray]) -> DataFrame:
+def _scored_in_rows(pairs: DataFrame | None, words: DataFrame | segment.Pieces, column: str, score: Callable[[pa.Array, np.ndarray, pa.Array], np.ndarray]) -> DataFrame:
     """(query_id, column, context): score gives the context of the values asked of rows, from words, rows and values."""
-    kind = lambda c: pairs.schema[c].dataType.simpleString()
+    whole = isinstance(words, segment.Pieces) and pairs is None
+    kind = lambda c: (words.rows if whole else pairs).schema[c].dataType.simpleString()
+    kinds = f"query_id {kind('query_id')}, {column} {kind(column)}, context double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,7 +161,14 @@ def _scored_in_rows(pairs: DataFrame, words: DataFrame, column: str, score: Call
                 context = score(b.column("words"), row, value)
             yield pa.RecordBatch.from_pydict({"query_id": b.column("query_id").take(pa.array(row)), column: value, "context": pa.array(context, pa.float64())})
 
-    return _asked(pairs, words, column).mapInArrow(run, f"query_id {kind('query_id')}, {column} {kind(column)}, context double")
+    if whole:
+        between = words.between
+        return words.rows.mapInArrow(lambda batches: run(segment.put_together(batches, between, column)), kinds)
+    return _asked(pairs, segment.rows_of(words), column).mapInArrow(run, kinds)
+
+
+def _joinable(pairs: DataFrame | None, words: DataFrame | segment.Pieces) -> tuple[DataFrame, DataFrame]:
+    return words.pairs() if pairs is None else pairs, segment.rows_of(words)
 
 
 def _tables(vectors: DataFrame, entities: DataFrame, more: int = 0) -> tuple | None:
@@ -203,10 +213,11 @@ def _first_greatest(of: np.ndarray, value: np.ndarray) -> np.ndarray:
     return hit[np.r_[True, of[hit][1:] != of[hit][:-1]]]
 
 
-def centroid_of_words(pairs: DataFrame, words: DataFrame, vectors: DataFrame, entities: DataFrame) -> DataFrame:
+def centroid_of_words(pairs: DataFrame | None, words: DataFrame | segment.Pieces, vectors: DataFrame, entities: DataFrame) -> DataFrame:
     """centroid_score."""
     t = _tables(vectors, entities)
     if t is None:
+        pairs, words = _joinable(pairs, words)
         return centroid_score(pairs, bag_of_words(words, vectors), entities)
     shared = words.sparkSession.sparkContext.broadcast(t)
 
@@ -217,11 +228,11 @@ def centroid_of_words(pairs: DataFrame, words: DataFrame, vectors: DataFrame, en
     return _scored_in_rows(pairs, words, "entity_id", score)
 
 
-def cosine_of_words(pairs: DataFrame, words: DataFrame, vectors: DataFrame, entities: DataFrame) -> DataFrame:
+def cosine_of_words(pairs: DataFrame | None, words: DataFrame | segment.Pieces, vectors: DataFrame, entities: DataFrame) -> DataFrame:
     """cosine_score."""
     t = _tables(vectors, entities)
     if t is None:
-        return cosine_score(pairs, words, vectors, entities)
+        return cosine_score(*_joinable(pairs, words), vectors, entities)
     shared = words.sparkSession.sparkContext.broadcast((*t, pa.array(text.CENTROID_STOPWORDS, pa.string())))
 
     def score(words: pa.Array, row: np.ndarray, value: pa.Array) -> np.ndarray:
@@ -236,7 +247,7 @@ def cosine_of_words(pairs: DataFrame, words: DataFrame, vectors: DataFrame, enti
     return _scored_in_rows(pairs, words, "entity_id", score)
 
 
-def _logistic_in_rows(pairs: DataFrame, words: DataFrame, t: tuple, terms: np.ndarray) -> DataFrame:
+def _logistic_in_rows(pairs: DataFrame | None, words: DataFrame | segment.Pieces, t: tuple, terms: np.ndarray) -> DataFrame:
     shared = words.sparkSession.sparkContext.broadcast((t[0], t[2], terms))
 
     def score(words: pa.Array, row: np.ndarray, value: pa.Array) -> np.ndarray:
@@ -253,29 +264,31 @@ def _fits(rows: int, columns: int) -> bool:
     return 8 * rows * columns <= batch.LOCAL_BYTES
 
 
-def logistic_of_words(pairs: DataFrame, words: DataFrame, vectors: DataFrame, entities: DataFrame) -> DataFrame:
+def logistic_of_words(pairs: DataFrame | None, words: DataFrame | segment.Pieces, vectors: DataFrame, entities: DataFrame) -> DataFrame:
     """logistic_score."""
     t = _tables(vectors, entities)
     if t is None or not _fits(len(t[0]), len(t[2])):
+        pairs, words = _joinable(pairs, words)
         return logistic_score(pairs, bag_of_words(words, vectors), entities)
     with np.errstate(over="ignore"):
         return _logistic_in_rows(pairs, words, t, np.log1p(np.exp(-(t[1] @ t[3].T))))
 
 
-def biased_of_words(pairs: DataFrame, words: DataFrame, vectors: DataFrame, entities: DataFrame) -> DataFrame:
+def biased_of_words(pairs: DataFrame | None, words: DataFrame | segment.Pieces, vectors: DataFrame, entities: DataFrame) -> DataFrame:
     """biased_logistic_score."""
     t = _tables(vectors, entities, 1)
     if t is None or not _fits(len(t[0]), len(t[2])):
+        pairs, words = _joinable(pairs, words)
         return biased_logistic_score(pairs, bag_of_words(words, vectors), entities)
     with np.errstate(over="ignore"):
         return _logistic_in_rows(pairs, words, t, np.log1p(np.exp(t[1] @ t[3][:, :-1].T + t[3][:, -1])))
 
 
-def normalizer_of_words(words: DataFrame, vectors: DataFrame) -> DataFrame:
+def normalizer_of_words(words: DataFrame | segment.Pieces, vectors: DataFrame) -> DataFrame:
     """query_normalizer."""
     t = batch.small_vectors(vectors, "word")
     if t is None:
-        return query_normalizer(bag_of_words(words, vectors))
+        return query_normalizer(bag_of_words(segment.rows_of(words), vectors))
     with np.errstate(over="ignore"):
         shared = words.sparkSession.sparkContext.broadcast((t[0], np.log1p(np.exp((t[1] * t[1]).sum(1)))[:, None]))
 
@@ -287,16 +300,16 @@ def normalizer_of_words(words: DataFrame, vectors: DataFrame) -> DataFrame:
             has = np.flatnonzero(bag.count)
             yield pa.RecordBatch.from_pydict({"query_id": b.column("query_id").take(pa.array(has)), "normalizer": pa.array(np.where(x == 0, 1.0, x)[has], pa.float64())})
 
-    return words.select("query_id", "words").mapInArrow(run, f"query_id {words.schema['query_id'].dataType.simpleString()}, normalizer double")
+    return segment.mapped(words, run, f"query_id {segment.key_of(words)}, normalizer double")
 
 
-def types_of_words(pairs: DataFrame, words: DataFrame, lm: DataFrame, totals: DataFrame, background: DataFrame) -> DataFrame:
+def types_of_words(pairs: DataFrame | None, words: DataFrame | segment.Pieces, lm: DataFrame, totals: DataFrame, background: DataFrame) -> DataFrame:
     """type_score."""
     p = ln(F.try_divide(F.col("freq") + F.lit(MU_TYPE) * F.try_divide(F.col("bg_freq").cast("double"), F.col("total_freq").cast("double")), F.col("type_freq") + F.lit(MU_TYPE)))
     t = batch.small(lm.join(totals, "type").join(background, "ngram").select("type", "ngram", p.alias("p")))
     ids, names = (pc.unique(t.column(c)) for c in ("type", "ngram")) if t is not None else (None, None)
     if t is None or not _fits(len(ids), len(names)):
-        return type_score(pairs, words, lm, totals, background)
+        return type_score(*_joinable(pairs, words), lm, totals, background)
     # sums, as an n-gram that a model has twice counts twice
     terms = np.zeros((len(names), len(ids)))
     np.add.at(terms, (batch.looked_up(batch.column(t, "ngram"), names), batch.looked_up(batch.column(t, "type"), ids)), batch.numbers(batch.column(t, "p"), 0.0))
