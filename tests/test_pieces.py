@@ -36,6 +36,8 @@ def test_mentions_are_sent_once(spark):
     m = spark.createDataFrame([(1, 1, "a")], "doc_id long, pos int, surface string")
     plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
     assert plan(coherence.placed(m)).count("Exchange hashpartitioning") == 1
+    d = queries.QUERIES["text_candidates"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert d.count("RepartitionByExpression") == 1 and "l_orderkey" in d
     found = spark.createDataFrame([("a", 0, "e")], "surface string, k int, entity string")
     assert "Window" not in plan(coherence._neighbours(m, found))
 
