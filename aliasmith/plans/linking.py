@@ -112,20 +112,20 @@ def surface_candidates(mentions: DataFrame, candidates: DataFrame, names: DataFr
     return mining.cut(got.select("surface", (F.row_number().over(_by("surface", "rank")) - 1).alias("k"), "entity_id", "entity"))
 
 
-def text_candidates(mentions: DataFrame, candidates: DataFrame, names: DataFrame, k: int = 10, surfaces: DataFrame | None = None) -> DataFrame:
+def text_candidates(mentions: DataFrame | coherence.Mentions, candidates: DataFrame, names: DataFrame, k: int = 10, surfaces: DataFrame | None = None) -> DataFrame:
     """(doc_id, pos, surface, place, k, entity_id, entity): the k best entities of each mention that has any; place: of the mention among these in its document.
 
     mentions: doc_id, pos, surface, of several of a place the least; names: entity_id, entity (url-encoded); surfaces: those of the mentions among others, where they can be had without the mentions.
     Mentions are placed before their candidates come in.
     """
-    m, c = coherence.placed(mentions), surface_candidates(mentions if surfaces is None else surfaces, candidates, names, k)
+    m, c = coherence.placed(mentions), surface_candidates(coherence.rows_of(mentions) if surfaces is None else surfaces, candidates, names, k)
     m = m.join(c.select("surface").distinct(), "surface", "left_semi").withColumn("place", F.dense_rank().over(_by("doc_id", "pos")))
     return m.join(c, "surface").select("doc_id", "pos", "surface", "place", "k", "entity_id", "entity")
 
 
-def link_texts(mentions: DataFrame, candidates: DataFrame, names: DataFrame, vectors: DataFrame, k: int = 10, direction: str = "forward", surfaces: DataFrame | None = None) -> DataFrame:
+def link_texts(mentions: DataFrame | coherence.Mentions, candidates: DataFrame, names: DataFrame, vectors: DataFrame, k: int = 10, direction: str = "forward", surfaces: DataFrame | None = None) -> DataFrame:
     """(doc_id, pos, surface, entity_id, entity): one entity for each mention of a document so that neighbours agree; the first candidate where the path leaves a mention out, null where it has none. See text_candidates; direction: as in coherence.choose."""
-    return coherence.resolved(mentions, surface_candidates(mentions if surfaces is None else surfaces, candidates, names, k), vectors, direction).select("doc_id", "pos", "surface", "entity_id", "entity")
+    return coherence.resolved(mentions, surface_candidates(coherence.rows_of(mentions) if surfaces is None else surfaces, candidates, names, k), vectors, direction).select("doc_id", "pos", "surface", "entity_id", "entity")
 
 
 def _by(keys, order):  # noqa: ANN001, ANN202
