@@ -116,10 +116,12 @@ def text_candidates(mentions: DataFrame | coherence.Mentions, candidates: DataFr
     """(doc_id, pos, surface, place, k, entity_id, entity): the k best entities of each mention that has any; place: of the mention among these in its document.
 
     mentions: doc_id, pos, surface, of several of a place the least; names: entity_id, entity (url-encoded); surfaces: those of the mentions among others, where they can be had without the mentions.
-    Mentions are placed before their candidates come in.
+    Mentions are placed before their candidates come in: in the tasks if they come as lines, else by a window.
     """
-    m, c = coherence.placed(mentions), surface_candidates(coherence.rows_of(mentions) if surfaces is None else surfaces, candidates, names, k)
-    m = m.join(c.select("surface").distinct(), "surface", "left_semi").withColumn("place", F.dense_rank().over(_by("doc_id", "pos")))
+    c = surface_candidates(coherence.rows_of(mentions) if surfaces is None else surfaces, candidates, names, k)
+    if isinstance(mentions, coherence.Mentions):
+        return coherence.in_places(mentions, c).join(c, "surface").select("doc_id", "pos", "surface", "place", "k", "entity_id", "entity")
+    m = coherence.placed(mentions).join(c.select("surface").distinct(), "surface", "left_semi").withColumn("place", F.dense_rank().over(_by("doc_id", "pos")))
     return m.join(c, "surface").select("doc_id", "pos", "surface", "place", "k", "entity_id", "entity")
 
 
